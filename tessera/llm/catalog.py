@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality_rules
+from tessera.llm import decontaminate, licenses, packing, quality_rules, warc
 
-MODULES = (quality_rules,)
+MODULES = (packing, licenses, decontaminate, quality_rules, warc)
 
 
 def queries() -> dict:
