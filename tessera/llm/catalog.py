@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, html_text, licenses, packing, quality_model, quality_rules, toxicity, warc
+from tessera.llm import decontaminate, html_text, jaccard_join, licenses, packing, preferences, quality_model, quality_rules, toxicity, warc
 
-MODULES = (packing, quality_model, licenses, toxicity, decontaminate, html_text, quality_rules, warc)
+MODULES = (packing, quality_model, licenses, toxicity, preferences, decontaminate, html_text, quality_rules, warc, jaccard_join)
 
 
 def queries() -> dict:
