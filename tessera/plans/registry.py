@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import vectors
+from tessera.plans import text, vectors
 
-MODULES = (vectors,)
+MODULES = (vectors, text)
 
 
 def queries() -> dict:
