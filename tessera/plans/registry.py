@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import text, vectors
+from tessera.plans import analytics, lifecycle, papers, text, vectors
 
-MODULES = (vectors, text)
+MODULES = (vectors, text, lifecycle, analytics, papers)
 
 
 def queries() -> dict:
