@@ -134,10 +134,14 @@ def contaminated(hits="leak_hits", words="leak_words"):
     return (F.col(hits) > 0) & (20 * F.col(hits) >= F.col(words))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their own columns only."""
-    found = scan_documents(docs, items, spans=False, **options)
-    return found.filter(~contaminated()).select(*docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their own columns only.
+
+    Columns are renamed by position for the scan, so none of theirs can clash with ours.
+    """
+    names = [f"c{n}" for n in range(len(docs.columns))]
+    found = scan_documents(docs.toDF(*names), items, text=names[docs.columns.index(text)], spans=False, **options)
+    return found.filter(~contaminated()).select(*names).toDF(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
