@@ -15,11 +15,13 @@ filter), so only those are shuffled.
    gram that alone exceeds that is dealt to several buckets.
 3. Candidates: the sets of a posting list of up to ``LIST`` are paired, through
    the length and positional filters. A longer list, of which only large groups of
-   near copies are made once the order is rare-first, makes a star instead; the
-   connected groups of such stars are compared in cells of two blocks of
-   ``BLOCK`` sets, each pair of blocks in a task of its own.
-4. Verification: once per pair, on whole sets fetched for candidates only, behind
-   the suffix filter, by exact intersection.
+   near copies are made once the order is rare-first, makes a star instead.
+4. Verification, once per pair, by exact intersection of whole sets, which are
+   hashed again for candidates only. A connected group of candidates of up to
+   ``BLOCKS`` blocks is compared whole, so each set is sent once per block: cells
+   of two blocks of ``BLOCK`` sets, each a task's group. In larger groups the stars
+   are compared in such cells, and all other pairs one by one, behind the suffix
+   filter.
 5. Components of the links, by stars over distributed edges.
 
 Equal sets are one node throughout: copies meet in a pre-aggregated group-by.
@@ -50,6 +52,8 @@ SKETCH = 1 << 20
 #: Longest posting list whose sets are paired directly.
 LIST = 128
 BLOCK = 256
+#: Blocks of a group of candidates that is compared whole at most.
+BLOCKS = 16
 #: Posting rows of a bucket at most, on average.
 BUCKET_ROWS = 1 << 20
 #: Ids that may be broadcast; beyond that they are joined by a shuffle.
@@ -58,6 +62,8 @@ MEMO_WORDS = 200_000
 
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _FINAL = np.uint64(0xFF51AFD7ED558CCD)
+#: Bits of a gram that postings carry: two grams that agree in them give a candidate that fails verification.
+KEY = np.uint64((1 << 48) - 1)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 #: The sign bit is cleared: ids of sets and grams are non-negative Spark longs.
 _POSITIVE = np.uint64(0x7FFFFFFFFFFFFFFF)
@@ -168,26 +174,22 @@ def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, gram
     schema, mask = schema_of(ROWS), np.uint64(len(counts) - 1)
 
     def run(batches):
-        import zstandard
-
         grams, order, arrow = Grams(gram), ship.value, to_arrow_schema(schema)
-        squeeze, seen, held, size = zstandard.ZstdCompressor(level=1).compress, set(), [], 0
+        seen, held, size, dealt = set(), [], 0, 0
 
         def flush():
             nonlocal held, size
             every = np.concatenate(held)
             often = order[(every["gram"] & mask).astype(np.int64)].astype(np.int64)
-            salts = -(-often // bucket_rows)
-            every["salted"] = salts > 1
-            bucket = (every["gram"] % np.uint64(buckets)).astype(np.int64) + np.where(salts > 1, (every["node"] % np.maximum(1, salts).astype(np.uint64)).astype(np.int64), 0)
+            salts = np.maximum(1, -(-often // bucket_rows)).astype(np.uint64)
+            bucket = (every["gram"] % np.uint64(buckets)).astype(np.int64) + (every["node"] % salts).astype(np.int64)
             bucket %= buckets
             by = np.lexsort((every["gram"], bucket))
             every, bucket = every[by], bucket[by]
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             rows = []
             for first, last in zip(starts, np.r_[starts[1:], len(bucket)]):
-                part = every[first:last]
-                rows.append((POSTINGS, None, None, None, int(bucket[first]), squeeze(b"".join(part[f].tobytes() for f in POSTING.names))))
+                rows.append((POSTINGS, None, None, None, int(bucket[first]), pack(every[first:last])))
             held, size = [], 0
             yield from batches_of(rows, arrow, 256)
 
@@ -197,13 +199,15 @@ def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, gram
                 found = grams(t)
                 n = len(found)
                 node = grams.node(found) if n else None
-                rows.append((DOCUMENT, doc, n, node, (node or doc or 0) % buckets, None))
+                dealt += 1  # rows of documents only pass through: any bucket will do, and a hot set must not choose it
+                rows.append((DOCUMENT, doc, n, node, dealt % buckets, None))
                 if not n or doc is None or node in seen:
                     continue
                 seen.add(node)
                 first = found[np.lexsort((found, order[(found & mask).astype(np.int64)]))[: prefix_size(n)]]
                 mine = np.zeros(len(first), POSTING)
-                mine["gram"], mine["node"], mine["n"], mine["at"] = first, node, n, np.arange(len(first))
+                mine["gram"], mine["node"], mine["n"], mine["at"] = first & KEY, node, n, np.arange(len(first))
+                mine["salted"] = order[(first & mask).astype(np.int64)] > bucket_rows
                 held.append(mine)
                 size += len(mine)
             yield from batches_of(rows, arrow)
@@ -215,16 +219,28 @@ def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, gram
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, schema), buckets
 
 
+def pack(part: np.ndarray) -> bytes:
+    """Postings of a bucket, sorted by gram: gaps between grams and the other fields, byte by byte, compressed."""
+    import zstandard
+
+    gaps = np.diff(part["gram"], prepend=np.uint64(0))
+    columns = [gaps, *(np.ascontiguousarray(part[f]) for f in POSTING.names[1:])]
+    planes = [c.view(np.uint8).reshape(len(part), -1).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
 def unpack(blob: bytes) -> np.ndarray:
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     out = np.zeros(len(raw) // POSTING.itemsize, POSTING)
     at = 0
     for name in POSTING.names:
-        step = POSTING[name].itemsize * len(out)
-        out[name] = np.frombuffer(raw[at : at + step], POSTING[name])
-        at += step
+        width = POSTING[name].itemsize
+        planes = raw[at : at + width * len(out)].reshape(width, len(out))
+        out[name] = np.ascontiguousarray(planes.T).view(POSTING[name]).ravel()
+        at += width * len(out)
+    out["gram"] = np.cumsum(out["gram"], dtype=np.uint64)
     return out
 
 
@@ -315,25 +331,35 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def fetch_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, gram: int) -> DataFrame:
-    """(node, rep, grams) of the wanted (node, rep): one document of every candidate set."""
+    """The wanted rows (node, rep, and any others) with the grams of one document of the node.
+
+    Only candidate texts are hashed; nothing is shuffled while the wanted rows are
+    few enough to broadcast. Documents that repeat an id are counted first, and only
+    where there are any the result is made distinct.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = schema_of("node long, rep long, grams array<long>")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("body")).join(wanted, "rep")
+    few = wanted.count() <= BROADCAST_ROWS
+    side = F.broadcast(wanted) if few else wanted
+    ids = docs.select(F.col(key).cast("long").alias("rep"))
+    repeated = ids.join(side.select("rep"), "rep", "left_semi").groupBy("rep").count().filter("count > 1").limit(1).count()
+    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("body")).join(side, "rep")
+    columns = [c for c in wanted.columns if c != "rep"]
+    schema = schema_of(", ".join(["rep long", *(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in columns), "grams array<long>"]))
+    at = 1 + columns.index("node")
 
     def run(batches):
         grams, arrow = Grams(gram), to_arrow_schema(schema)
         for piece in slices(batches):
             rows = []
-            for node, rep, t in zip(*[piece.column(n).to_pylist() for n in range(3)]):
-                found = grams(t)
-                if grams.node(found) == node:
-                    rows.append((node, rep, found.astype(np.int64)))
+            for row in zip(*[c.to_pylist() for c in piece.columns]):
+                found = grams(row[-1])
+                if grams.node(found) == row[at]:
+                    rows.append((*row[:-1], found.astype(np.int64)))
             yield from batches_of(rows, arrow, 1024)
 
-    return texts.select("node", "rep", "body").mapInArrow(run, schema).dropDuplicates(["node"])
+    found = texts.select("rep", *columns, "body").mapInArrow(run, schema)
+    return found.dropDuplicates(["node"]) if repeated else found
 
 
 def arrays_of(column) -> list[np.ndarray]:
@@ -403,14 +429,13 @@ def links_in_cell(reps: np.ndarray, side: np.ndarray, grams: list[np.ndarray], d
     return out
 
 
-def verify_groups(groups: DataFrame, sets: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """(a, b): links within the groups (node, label), by cells of two blocks of sets."""
-    blocks = scratch.save(groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")), "blocks")
-    placed = groups.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+def verify_groups(placed: DataFrame) -> DataFrame:
+    """(a, b): links within groups, from (label, blocks, block, rep, grams).
+
+    A set goes to a cell for every block of its group; a cell holds two blocks.
+    """
     spread = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = spread.select(
-        "label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("k"), (F.col("block") > F.col("with")).cast("int").alias("side"), "node"
-    )
+    cells = spread.select("label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("k"), (F.col("block") > F.col("with")).cast("int").alias("side"), "rep", "grams")
 
     def work(frame):
         import pandas as pd
@@ -419,10 +444,22 @@ def verify_groups(groups: DataFrame, sets: DataFrame, scratch: Scratch, block: i
         found = links_in_cell(frame["rep"].to_numpy(), frame["side"].to_numpy(), [np.asarray(g, np.int64) for g in frame["grams"]], diagonal)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return cells.join(sets, "node").groupBy("label", "i", "k").applyInPandas(work, "a long, b long")
+    return cells.groupBy("label", "i", "k").applyInPandas(work, "a long, b long")
+
+
+def members(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, label) of all nodes of a graph of (node, other), the smallest ones included."""
+    near = connected_components(edges, scratch, name, "node", "other")
+    return scratch.save(near.unionByName(near.select(F.col("label").alias("node"), "label")).distinct(), f"{name}-members")
+
+
+def in_blocks(groups: DataFrame, scratch: Scratch, name: str, block: int) -> DataFrame:
+    """Groups (node, label) with the number of blocks of a group and the block of a node."""
+    blocks = scratch.save(groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")), f"{name}-blocks")
+    return groups.join(blocks, "label").select("node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
 
 
-def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, longest: int = LIST, block: int = BLOCK, bucket_rows: int = BUCKET_ROWS, sketch: int = SKETCH) -> DataFrame:
+def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, longest: int = LIST, block: int = BLOCK, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS, sketch: int = SKETCH) -> DataFrame:
     """(key, n_shingles, component_id) of every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     counts = count_sketch(docs, text, sketch, gram)
@@ -436,23 +473,29 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gra
     hubs = found.filter(F.col("kind") == HUB).select(F.col("node").alias("gram"), F.col("other").alias("hub"))
     top = hubs.groupBy("gram").agg(F.min("hub").alias("top"))
     stars = found.filter(F.col("kind") == STAR).select("node", "other").unionByName(hubs.join(top, "gram").select(F.col("hub").alias("node"), F.col("top").alias("other")))
-    near = connected_components(stars, scratch, "stars", "node", "other")
-    groups = near.unionByName(near.select(F.col("label").alias("node"), "label")).distinct()
-    groups = scratch.save(groups, "groups")
-
-    wanted = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).unionByName(groups.select("node")).distinct()
-    wanted = scratch.save(wanted.join(classes.select("node", "rep"), "node"), "wanted")
-    sets = scratch.save(fetch_sets(docs, key, text, wanted, gram), "sets")
-    # a pair inside one group is compared in a cell, not here
-    inside = groups.select("node", F.col("label").alias("one")), groups.select(F.col("node").alias("other"), F.col("label").alias("two"))
-    apart = pairs.join(inside[0], "node", "left").join(inside[1], "other", "left").filter("one IS NULL OR two IS NULL OR one <> two").select("node", "other")
-    links = scratch.save(verify_pairs(apart, sets).unionByName(verify_groups(groups, sets, scratch, block)), "links")
+    stars = scratch.save(stars, "stars")
+
+    # Groups of candidates that fit a few blocks are compared whole, their sets sent once.
+    every = in_blocks(members(pairs.unionByName(stars), scratch, "near"), scratch, "near", block)
+    small = every.filter(F.col("blocks") <= blocks)
+    # In larger ones only the stars are, and the pairs outside a star go two by two.
+    large = every.filter(F.col("blocks") > blocks).select("node")
+    close = in_blocks(members(stars.join(large, "node", "left_semi"), scratch, "close"), scratch, "close", block)
+    inside = close.select("node", F.col("label").alias("one")), close.select(F.col("node").alias("other"), F.col("label").alias("two"))
+    apart = pairs.join(large, "node", "left_semi").join(inside[0], "node", "left").join(inside[1], "other", "left").filter("one IS NULL OR two IS NULL OR one <> two").select("node", "other")
+    apart = scratch.save(apart, "apart")
+    reps = classes.select("node", "rep")
+    placed = scratch.save(small.unionByName(close).join(reps, "node"), "placed")
+    links = verify_groups(fetch_sets(docs, key, text, placed, gram))
+    ends = scratch.save(apart.select("node").unionByName(apart.select(F.col("other").alias("node"))).distinct().join(reps, "node"), "ends")
+    if ends.limit(1).count():
+        links = links.unionByName(verify_pairs(apart, scratch.save(fetch_sets(docs, key, text, ends, gram), "sets")))
+    links = scratch.save(links, "links")
     labels = connected_components(links, scratch, "links")
 
     moved = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     moved = moved.withColumn("component", F.coalesce("label", "rep")).filter("copies > 1 OR component <> rep").select("node", "n", "component")
     moved = scratch.save(moved, "moved")
-    scratch.drop("sets", "wanted", "pairs", "groups", "links", "classes", "blocks")
     joined = documents.select("doc_id", "n", "node").join(moved, ["node", "n"], "left")
     return joined.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
@@ -465,15 +508,17 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
     groups = scratch.save(jaccard_groups(docs, text, key, **options), "groups")
-    gone = groups.filter(F.col(key) != F.col("component_id")).select(F.col(key).cast(docs.schema[key].dataType).alias("gone_id")).distinct()
+    kind = docs.schema[key].dataType
+    gone = groups.filter(F.col(key) != F.col("component_id")).select(F.col(key).cast(kind).alias("id")).distinct()
     few = gone.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if few else gone, docs[key] == F.col("gone_id"), "left_anti")
+    gone = F.broadcast(gone) if few else gone
+    kept = docs.join(gone, docs[key] == gone["id"], "left_anti")
     repeated = groups.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1")
     if not repeated.limit(1).count():
         return kept
-    again = repeated.select(F.col(key).cast(docs.schema[key].dataType).alias("again_id"))
-    single = kept.join(again, kept[key] == F.col("again_id"), "left_semi").dropDuplicates([key])
-    return kept.join(again, kept[key] == F.col("again_id"), "left_anti").unionByName(single)
+    again = repeated.select(F.col(key).cast(kind).alias("id"))
+    single = kept.join(again, docs[key] == again["id"], "left_semi").dropDuplicates([key])
+    return kept.join(again, docs[key] == again["id"], "left_anti").unionByName(single)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
