@@ -1,9 +1,12 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components of a graph whose edges stay distributed.
 
-Edges stay distributed; every step is a pre-aggregated minimum per node and a
-join of the edges with it. Minima are written before they are joined, so both
+A graph of at most ``ONE_TASK`` distinct edges, counted first, is solved by
+union-find in a single task, whose memory that number bounds. A larger one takes
+alternating large-star and small-star steps: a pre-aggregated minimum per node and
+a join of the edges with it. Minima are written before they are joined, so both
 sides of that join are plain shuffles and a node with very many neighbours is
 split by adaptive execution. Every round is written to the shared scratch folder.
+Both ways give the same labels.
 """
 
 from __future__ import annotations
@@ -13,8 +16,39 @@ from pyspark.sql import functions as F
 
 from tessera.session import Scratch
 
+#: Edges that one task may hold: 16 bytes each on the way, some hundred in its tables.
+ONE_TASK = 1 << 20
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str, a: str = "a", b: str = "b") -> DataFrame:
+
+def solve(edges: DataFrame) -> DataFrame:
+    """(node, label) by union-find in one task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        pairs = [(x, root(x)) for x in list(parent)]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        for at in range(0, len(pairs), 65536):
+            nodes, labels = zip(*pairs[at : at + 65536])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(labels, pa.int64())], names=["node", "label"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, label long")
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, name: str, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
     """(node, label): the smallest node of its component for every node but that one.
 
     Self loops, repeated edges and either direction are allowed; edges with a null
@@ -22,6 +56,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str, a: str =
     """
     edges = edges.filter(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {a} <> {b}")
     now = scratch.save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), f"{name}-0")
+    if now.count() <= one_task:
+        return scratch.save(solve(now), f"{name}-labels")
     seen, n = None, 0
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
