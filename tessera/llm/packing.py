@@ -36,10 +36,6 @@ PIECE = 256
 #: Documents dealt together.
 BLOCK = 512
 END_ID = 0
-#: Words whose ids a task remembers; beyond that it forgets them all and goes on.
-MEMO_WORDS = 150_000
-#: Blanks outside ASCII.
-WIDE_BLANKS = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -54,13 +50,11 @@ def byte_alphabet() -> dict[str, int]:
 class Encoder:
     """Token ids of a byte-level BPE vocabulary, the same as the ``tokenizers`` file gives.
 
-    The vocabulary of the file is read into ``tiktoken``, whose ids of ordinary
-    text are equal and which is several times faster. Where a text has no other
-    blanks than single spaces between words and line ends that touch no space,
-    every token stays inside one space-led word, so ids are remembered by word.
+    The vocabulary of the file is read into ``tiktoken``, whose ids of ordinary text
+    are equal and which is several times faster.
     """
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, path: str):
         import json
 
         import public_tokenizers
@@ -72,38 +66,9 @@ class Encoder:
         special = {t["content"] for t in model.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
         self.encode = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.memo: dict[str, list[int]] = {}
-        self.limit = memo_words
 
     def ids(self, text: str) -> list[int]:
-        if not plain_blanks(text):
-            return self.encode(text)
-        out: list[int] = []
-        memo, add = self.memo, out.extend
-        for n, word in enumerate(text.split(" ")):
-            key = " " + word if n else word
-            got = memo.get(key)
-            if got is None:
-                got = self.encode(key)
-                if len(memo) >= self.limit:
-                    memo.clear()
-                memo[key] = got
-            add(got)
-        return out
-
-
-def plain_blanks(text: str) -> bool:
-    """Whether spaces are single, not at the end, and apart from any other blank.
-
-    The ASCII blanks next to a space are looked for directly; a text with a blank
-    outside ASCII is left to the general encoder.
-    """
-    if "  " in text or text.endswith(" "):
-        return False
-    for b in "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f":
-        if b in text and (" " + b in text or b + " " in text):
-            return False
-    return text.isascii() or not any(b in text for b in WIDE_BLANKS)
+        return self.encode(text)
 
 
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -196,9 +161,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
 
         for batch in slices(batches):
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.ids(t or "")
-                ids.append(end_id)
-                held.append((k, np.array(ids, "<u4")))
+                ids = np.array([*encoder.ids(t or ""), end_id], "<u4")
+                held.append((k, ids))
                 size += len(ids)
                 if len(held) >= block or size > 4 << 20:
                     yield from flush()
