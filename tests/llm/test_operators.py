@@ -104,6 +104,29 @@ def test_encoder_with_odd_blanks():
         assert e.ids(s) == t.encode(s, add_special_tokens=False).ids, s
 
 
+def test_encoder_with_long_blank_runs(spark):
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer())
+    t.encode_special_tokens = True
+    texts = [f"a{' ' * 1_000_000}b", "\n" * 1_500_000, f"a{' ' * 1_000_000}\n, b{chr(0x3000) * 1_000_000}c d"]
+    for s in texts:
+        assert e.ids(s) == t.encode(s, add_special_tokens=False).ids
+    assert {r.doc_id: r.doc_tokens for r in packing.pack_documents(docs(spark, *texts), packing.default_tokenizer()).collect()} == {i: len(e.ids(s)) + 1 for i, s in enumerate(texts)}
+
+
+def test_encoder_cuts_at_blanks_without_a_trace():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer(), long_blanks=2)
+    t.encode_special_tokens = True
+    rng = np.random.default_rng(5)
+    letters = list("  \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000ab'1.é漢") + ["    ", "\n\n\n", "'s", "<|endoftext|>"]
+    for _ in range(2000):
+        s = "".join(rng.choice(letters, rng.integers(0, 14)))
+        assert e.ids(s) == t.encode(s, add_special_tokens=False).ids, s
+
+
 def test_differencing_is_balanced():
     sizes = np.array([8, 7, 6, 5, 4])
     sums = np.bincount(packing.difference(sizes, 2), sizes)
