@@ -5,7 +5,10 @@ more than prose of its length repeats itself, text that hardly shrinks is noise
 (random strings, encoded blobs). The ratio of prose grows with the length of the
 input, so every length band has its own pair of limits. The ratio is taken over
 the whole document and, so that a long clean document cannot hide a block of
-junk, over consecutive chunks of fixed size.
+junk, over consecutive chunks of fixed size, of which none may lie outside its
+limits. The last chunk ends with the document and may overlap the one before, so
+every byte is judged. Junk that fills no chunk, less than two chunks long, can
+still be covered up by the prose around it.
 
 Defined results: a null text is an empty text; an empty text has ratio 0 and no
 chunk, and is not rejected by the bands (``op8`` rejects it by its word count).
@@ -36,11 +39,11 @@ BANDS = (
     (1 << 62, 1.35, 2.85),
 )
 LEVEL = 3
-#: Bytes of a chunk; a rest shorter than half a chunk is judged with the whole only.
+#: Bytes of a chunk; a document shorter than one is judged as a whole only.
 CHUNK = 2048
 #: Least and greatest ratio of a chunk, and the share of chunks that may lie outside.
 CHUNK_BAND = (1.30, 2.45)
-CHUNK_SHARE = 0.2
+CHUNK_SHARE = 0
 
 VERDICT = "doc_bytes long, ratio double, n_chunks int, bad_chunks int, in_band boolean"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -60,10 +63,9 @@ def make_judge(bands=BANDS, level=LEVEL, chunk=CHUNK, chunk_band=CHUNK_BAND, chu
         chunks = bad = 0
         if len(raw) >= chunk:
             for at in range(0, len(raw), chunk):
-                part = raw[at : at + chunk]
-                if 2 * len(part) >= chunk:
-                    chunks += 1
-                    bad += not chunk_band[0] <= len(part) / len(squeeze(part)) <= chunk_band[1]
+                at = min(at, len(raw) - chunk)
+                chunks += 1
+                bad += not chunk_band[0] <= chunk / len(squeeze(raw[at : at + chunk])) <= chunk_band[1]
         return len(raw), ratio, chunks, bad, low <= ratio <= high and bad <= chunk_share * chunks
 
     return judge

@@ -353,6 +353,20 @@ def test_bands(spark):
     assert kept.columns == frame.columns and [r.doc_id for r in kept.collect()] == [0]
 
 
+@pytest.mark.parametrize("at", [0, 40_001, 100_000])
+def test_long_documents_hide_no_junk(at):
+    import base64
+
+    rng, judge = np.random.default_rng(6), quality_rules.make_judge()
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(5000)]
+    clean = " ".join(rng.choice(words, 20_000))[:100_000]
+    assert judge(clean) == (100_000, judge(clean)[1], 49, 0, True)
+    spam = "spam eggs ham to buy right now "
+    for junk in [base64.b64encode(rng.bytes(14_000)).decode(), base64.b64encode(rng.bytes(4_500)).decode(), spam * 330, spam * 140]:
+        assert not judge(clean[:at] + junk + clean[at:])[4]
+    assert not judge(clean[: 48 * 2048] + spam * 32)[4]  # a tail below half a chunk
+
+
 def test_clean_documents_are_kept(spark):
     d = f"{DATA}/sf0.1"
     good = quality_rules.op8_quality_rules(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1"), "doc_id").filter("NOT base_failed")
