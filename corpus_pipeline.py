@@ -7,7 +7,8 @@ included. ``run`` applies them to the documents table.
 
 Defined results: a null or empty text is not toxic, but fails the word count of
 the quality rules; an empty table passes every stage and packs to nothing; rows
-that repeat an id are one document after the Jaccard stage.
+that repeat an id are judged by their own texts, and those that also have the same
+n-grams are one document after the Jaccard stage.
 """
 
 from __future__ import annotations

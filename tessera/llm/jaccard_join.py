@@ -27,8 +27,9 @@ filter), so only those are shuffled.
 Equal sets are one node throughout: copies meet in a pre-aggregated group-by.
 
 Defined results: null or empty text has size 0 and is linked with nothing; fewer
-than five words are one gram; repeated rows are copies of each other; rows with a
-null id get a null component; an empty table gives an empty result. Hashes have
+than five words are one gram; repeated rows are copies of each other; different
+texts under one id are different documents, each in the group of its own links;
+rows with a null id get a null component; an empty table gives an empty result. Hashes have
 64 bits: two different sets are taken for equal with a chance of 2**-64 a pair.
 """
 
@@ -373,11 +374,11 @@ def arrays_of(column) -> list[np.ndarray]:
 
 
 def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): representatives of the pairs of nodes that link."""
+    """(a, b): the pairs of nodes that link."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = schema_of("a long, b long")
-    side = lambda n: sets.select(F.col("node").alias(f"node_{n}"), F.col("rep").alias(f"rep_{n}"), F.col("grams").alias(f"grams_{n}"))
+    side = lambda n: sets.select(F.col("node").alias(f"node_{n}"), F.col("grams").alias(f"grams_{n}"))
     both = pairs.withColumnsRenamed({"node": "node_a", "other": "node_b"}).join(side("a"), "node_a").join(side("b"), "node_b")
 
     def run(batches):
@@ -387,10 +388,10 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = [linked(x, y) for x, y in zip(a, b)]
             yield from batches_of([(i, k) for i, k, y in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), ok) if y], arrow)
 
-    return both.select("rep_a", "rep_b", "grams_a", "grams_b").mapInArrow(run, schema)
+    return both.select("node_a", "node_b", "grams_a", "grams_b").mapInArrow(run, schema)
 
 
-def links_in_cell(reps: np.ndarray, side: np.ndarray, grams: list[np.ndarray], diagonal: bool) -> list[tuple[int, int]]:
+def links_in_cell(nodes: np.ndarray, side: np.ndarray, grams: list[np.ndarray], diagonal: bool) -> list[tuple[int, int]]:
     """A spanning forest of the links between the two sides of a cell (or within one).
 
     An index of the grams of one side gives the overlaps of a set of the other with
@@ -404,7 +405,7 @@ def links_in_cell(reps: np.ndarray, side: np.ndarray, grams: list[np.ndarray], d
     flat, owner = np.concatenate([grams[i] for i in left]), np.repeat(np.arange(len(left)), sizes[left])
     by = np.argsort(flat, kind="stable")
     flat, owner = flat[by], owner[by]
-    parent = list(range(len(reps)))
+    parent = list(range(len(nodes)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -425,23 +426,23 @@ def links_in_cell(reps: np.ndarray, side: np.ndarray, grams: list[np.ndarray], d
             a, b = root(i), root(j)
             if a != b:
                 parent[a] = b
-                out.append((int(reps[i]), int(reps[j])))
+                out.append((int(nodes[i]), int(nodes[j])))
     return out
 
 
 def verify_groups(placed: DataFrame) -> DataFrame:
-    """(a, b): links within groups, from (label, blocks, block, rep, grams).
+    """(a, b): links within groups, from (label, blocks, block, node, grams).
 
     A set goes to a cell for every block of its group; a cell holds two blocks.
     """
     spread = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = spread.select("label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("k"), (F.col("block") > F.col("with")).cast("int").alias("side"), "rep", "grams")
+    cells = spread.select("label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("k"), (F.col("block") > F.col("with")).cast("int").alias("side"), "node", "grams")
 
     def work(frame):
         import pandas as pd
 
         diagonal = bool((frame["i"] == frame["k"]).iloc[0])
-        found = links_in_cell(frame["rep"].to_numpy(), frame["side"].to_numpy(), [np.asarray(g, np.int64) for g in frame["grams"]], diagonal)
+        found = links_in_cell(frame["node"].to_numpy(), frame["side"].to_numpy(), [np.asarray(g, np.int64) for g in frame["grams"]], diagonal)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return cells.groupBy("label", "i", "k").applyInPandas(work, "a long, b long")
@@ -459,8 +460,12 @@ def in_blocks(groups: DataFrame, scratch: Scratch, name: str, block: int) -> Dat
     return groups.join(blocks, "label").select("node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
 
 
-def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, longest: int = LIST, block: int = BLOCK, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS, sketch: int = SKETCH) -> DataFrame:
-    """(key, n_shingles, component_id) of every row of ``docs``."""
+def grouped_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, longest: int = LIST, block: int = BLOCK, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS, sketch: int = SKETCH) -> DataFrame:
+    """(doc_id, n, node, component, first) of every row of ``docs``.
+
+    ``component`` is the smallest id of the row's group and ``first`` the node of a
+    text that has it: groups are of nodes, as an id may stand for several texts.
+    """
     scratch = Scratch(docs.sparkSession, "jaccard")
     counts = count_sketch(docs, text, sketch, gram)
     rows, buckets = make_postings(docs, key, text, counts, gram, bucket_rows)
@@ -491,34 +496,65 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gra
     if ends.limit(1).count():
         links = links.unionByName(verify_pairs(apart, scratch.save(fetch_sets(docs, key, text, ends, gram), "sets")))
     links = scratch.save(links, "links")
-    labels = connected_components(links, scratch, "links")
+    linked_nodes = members(links.withColumnsRenamed({"a": "node", "b": "other"}), scratch, "links")
+    firsts = scratch.save(linked_nodes.join(reps, "node").groupBy("label").agg(F.min(F.struct("rep", "node")).alias("least")), "firsts")
+    labels = linked_nodes.join(firsts, "label").select("node", F.col("least.rep").alias("component"), F.col("least.node").alias("first"))
 
-    moved = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    moved = moved.withColumn("component", F.coalesce("label", "rep")).filter("copies > 1 OR component <> rep").select("node", "n", "component")
-    moved = scratch.save(moved, "moved")
+    moved = classes.join(labels, "node", "left").select("node", "n", "rep", "copies", F.coalesce("component", "rep").alias("component"), F.coalesce("first", "node").alias("first"))
+    moved = scratch.save(moved.filter("copies > 1 OR component <> rep OR first <> node").select("node", "n", "component", "first"), "moved")
     joined = documents.select("doc_id", "n", "node").join(moved, ["node", "n"], "left")
-    return joined.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return joined.select("doc_id", "n", "node", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component"), F.coalesce("first", "node").alias("first"))
+
+
+def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """(key, n_shingles, component_id) of every row of ``docs``; options of ``grouped_rows``."""
+    return grouped_rows(docs, text, key, **options).select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def with_node(docs: DataFrame, text: str, name: str, gram: int = GRAM) -> DataFrame:
+    """``docs`` and the node of every row's text in a last column; -1 where the set is empty."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import LongType, StructType
+
+    schema, at = StructType([*docs.schema.fields]).add(name, LongType()), docs.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        grams, arrow = Grams(gram), to_arrow_schema(schema)
+        for piece in slices(batches):
+            sets = [grams(t) for t in piece.column(at).to_pylist()]
+            nodes = pa.array([grams.node(x) if len(x) else -1 for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*piece.columns, nodes], schema=arrow)
+
+    return docs.mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their group; rows without id stay.
 
-    Texts are not shuffled while the ids that go are few enough to broadcast. Of
-    rows that repeat an id one stays.
+    Texts are not shuffled while the ids that go are few enough to broadcast. Rows
+    that repeat an id are decided by their own texts, and of those with equal sets
+    one stays.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
-    groups = scratch.save(jaccard_groups(docs, text, key, **options), "groups")
-    kind = docs.schema[key].dataType
-    gone = groups.filter(F.col(key) != F.col("component_id")).select(F.col(key).cast(kind).alias("id")).distinct()
+    groups = scratch.save(grouped_rows(docs, text, key, **options), "groups")
+    kind, stays = docs.schema[key].dataType, (F.col("doc_id") == F.col("component")) & F.col("node").eqNullSafe(F.col("first"))
+    gone = groups.filter(F.col("doc_id").isNotNull() & ~stays).select(F.col("doc_id").cast(kind).alias("id")).distinct()
+    again = groups.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast(kind).alias("id")).count().filter("count > 1").select("id")
+    again = scratch.save(again, "again")
+    repeated = again.limit(1).count()
+    gone = gone.unionByName(again).distinct() if repeated else gone
     few = gone.count() <= BROADCAST_ROWS
     gone = F.broadcast(gone) if few else gone
     kept = docs.join(gone, docs[key] == gone["id"], "left_anti")
-    repeated = groups.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1")
-    if not repeated.limit(1).count():
+    if not repeated:
         return kept
-    again = repeated.select(F.col(key).cast(kind).alias("id"))
-    single = kept.join(again, docs[key] == again["id"], "left_semi").dropDuplicates([key])
-    return kept.join(again, docs[key] == again["id"], "left_anti").unionByName(single)
+    name = f"{key} node"
+    rows = with_node(docs.join(again, docs[key] == again["id"], "left_semi"), text, name, options.get("gram", GRAM))
+    firsts = groups.filter(stays).select(F.col("doc_id").cast(kind).alias("id"), F.coalesce("node", F.lit(-1)).alias("set")).join(again, "id", "left_semi").distinct()
+    rows = rows.join(firsts, (rows[key] == firsts["id"]) & (rows[name] == firsts["set"]), "left_semi")
+    return kept.unionByName(rows.dropDuplicates([key, name]).drop(name))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

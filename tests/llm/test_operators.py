@@ -448,6 +448,22 @@ def test_groups_of_odd_rows(spark, odd, empty):
     assert jaccard_join.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"longest": 3, "block": 4, "blocks": 1}])
+def test_ids_with_several_texts(spark, options):
+    """Rows of one id with unequal texts, as if each had an id of its own."""
+    texts = [f"{PROSE} {k} " + " ".join(f"own{k}x{i}" for i in range(400)) for k in range(6)]
+    near = [f"{t} tail" for t in texts]
+    rows = [(1, texts[0]), (2, texts[1]), (5, near[0]), (5, near[1]), (5, texts[2]), (5, texts[2].upper()), (6, near[2]), (6, texts[3]), (7, texts[4]), (7, near[4]), (8, None), (8, ""), (8, texts[5]), (None, near[5]), (None, near[5])]
+    frame = docs(spark, *(t for _, t in rows), ids=[i for i, _ in rows]).repartition(3)
+    kept = [(r.doc_id, (r.text or "").lower()) for r in jaccard_join.keep_one(frame, **options).collect()]
+    (seven,) = [t for i, t in kept if i == 7]  # either text, but one
+    assert seven in (texts[4].lower(), near[4].lower())
+    want = [(1, texts[0]), (2, texts[1]), (5, texts[2]), (6, texts[3]), (7, seven), (8, ""), (8, texts[5]), (None, near[5]), (None, near[5])]
+    assert Counter(kept) == Counter((i, t.lower()) for i, t in want)
+    got = Counter((r.doc_id, r.component_id) for r in jaccard_join.jaccard_groups(frame, **options).collect())
+    assert got == Counter([(1, 1), (2, 2), (5, 1), (5, 2), (5, 5), (5, 5), (6, 5), (6, 6), (7, 7), (7, 7), (8, 8), (8, 8), (8, 8), (None, None), (None, None)])
+
+
 def test_filters_lose_nothing():
     rng = np.random.default_rng(0)
     for _ in range(300):
