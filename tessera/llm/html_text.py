@@ -6,7 +6,8 @@ tags below it, and from them its composite text density: characters per tag,
 scaled down where links make up much of it. A node's density sum is the sum over
 its children; the node with the largest one holds the article. The least density
 on the path from there to the body is the threshold above which further blocks
-beside it count as content. Elements that are no article by their kind or name
+beside it count as content. An article or main element around that node is taken
+whole, and the threshold decides on the blocks beside it. Elements that are no article by their kind or name
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) carry no
 characters and are never rendered.
 
@@ -231,14 +232,13 @@ def main_nodes(root: Node) -> list[Node]:
         if up.tag in ("article", "main") and (whole is None or up.tag == "article" and whole.tag == "main"):
             whole = up
         up = up.parent
-    if whole:
-        return [whole]
+    whole = whole or best
     threshold = min(n.density for n in path)
     on_path, chosen, covered = {id(n) for n in path}, [], set()
     for n in live:
         if id(n.parent) in covered:
             covered.add(id(n))
-        elif n is best or id(n) not in on_path and n.tag in BLOCK and n.density >= threshold and n.chars > n.link_chars * 2:
+        elif n is whole or id(n) not in on_path and n.tag in BLOCK and n.density >= threshold and n.chars > n.link_chars * 2:
             covered.add(id(n))
             chosen.append(n)
     return chosen

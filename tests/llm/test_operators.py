@@ -298,6 +298,17 @@ def test_article_text():
     assert html_text.main_text("<div>" * 20000 + "deep") == "deep"
 
 
+def test_articles_beside_the_densest_one():
+    lines = [f"Paragraph {k} of the first part, " + "which goes on for some time. " * 9 for k in range(6)]
+    first, second = "".join(f"<p>{x}</p>" for x in lines), "Text of the second part, not as long. " * 9
+    one, both = "\n".join(x.strip() for x in lines), "\n".join(x.strip() for x in [*lines, second])
+    menu = "<div><a href=1>one link</a> <a href=2>another link</a></div>"
+    assert html_text.main_text(f"<body>{menu}<article>{first}</article><article><p>{second}</article></body>") == both
+    assert html_text.main_text(f"<body>{menu}<main><article>{first}</article>{menu}<section><article><p>{second}</article></section></main></body>") == both
+    assert html_text.main_text(f"<body><article><article>{first}</article><div><p>{second}</div></article>{menu}</body>") == both
+    assert html_text.main_text(f"<body>{menu}<article>{first}</article><article class=comment><p>{second}</article><footer><p>{second}</footer></body>") == one
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (3, "v", "", "y")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
