@@ -61,6 +61,10 @@ ENDS = {
     "option": (("option",), ("select",)),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Foreign elements, the elements inside them that hold HTML, and the HTML tags that end them where they stand.
+FOREIGN = frozenset("svg math".split())
+HTML_POINTS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = BLOCK | frozenset("b big br code em embed head i img listing meta nobr ruby s small span strong strike sub sup tt u var".split())
 
 _MARK = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -97,6 +101,23 @@ def is_apart(tag: str, attributes: str, parents: list[Node]) -> bool:
     return bool(names & APART_NAMES) or (not inside and bool(names & HEAD_NAMES) and tag not in HEADINGS)
 
 
+def foreign_end(page: str, at: int, tag: str) -> int:
+    """Where a foreign element that is open at ``at`` ends: after its end tag, or before an HTML tag that no foreign element holds."""
+    depth, inside = 1, 0
+    for mark in _MARK.finditer(page, at):
+        closing, name, attributes = mark.group(1, 2, 3) if mark.group(2) else mark.group(4, 5, 6)
+        name = (name or "").lower()
+        if name in HTML_POINTS:
+            inside = max(0, inside - 1) if closing else inside + (not attributes.rstrip().endswith("/"))
+        elif name == tag:
+            depth += -1 if closing else not attributes.rstrip().endswith("/")
+            if not depth:
+                return mark.end()
+        elif not inside and name in (BLOCK if closing else BREAKOUT):
+            return mark.start()
+    return len(page)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; text nodes are strings, in page order."""
     root = Node("html", None)
@@ -128,7 +149,9 @@ def parse(page: str) -> Node:
                     break
             continue
         if tag in RAW:
-            if not attributes.rstrip().endswith("/"):
+            if tag in FOREIGN and not attributes.rstrip().endswith("/"):
+                at = foreign_end(page, at, tag)
+            elif not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else size
             continue

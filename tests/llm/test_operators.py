@@ -309,6 +309,18 @@ def test_articles_beside_the_densest_one():
     assert html_text.main_text(f"<body>{menu}<article>{first}</article><article class=comment><p>{second}</article><footer><p>{second}</footer></body>") == one
 
 
+def test_foreign_content_without_end_tag():
+    text = lambda inner: html_text.main_text(f"<body><article><p>before {inner}</article></body>")
+    for tag in ("svg", "math"):
+        assert text(f"<{tag} x=1><path d=1><p>after") == "before\nafter"
+        assert text(f"<{tag}><g></p><h2>after</h2>") == "before\nafter"
+        assert text(f"<{tag}><p>after<{tag}><a>no</a></{tag}> end") == "before\nafter end"
+        assert text(f"<{tag}><{tag}><text>no</text></{tag}>no</{tag}> end") == "before end"
+        assert text(f"<{tag}/> end") == "before end"
+    assert text("<svg><foreignObject><div>no</div></foreignObject><title>no<b>no</b></title></svg> end") == "before end"
+    assert text("<math><mtext><span>no</span></mtext></math> end <svg>no") == "before end"
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (3, "v", "", "y")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
