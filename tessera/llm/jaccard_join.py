@@ -16,12 +16,17 @@ filter), so only those are shuffled.
 3. Candidates: the sets of a posting list of up to ``LIST`` are paired, through
    the length and positional filters. A longer list, of which only large groups of
    near copies are made once the order is rare-first, makes a star instead.
-4. Verification, once per pair, by exact intersection of whole sets, which are
-   hashed again for candidates only. A connected group of candidates of up to
-   ``BLOCKS`` blocks is compared whole, so each set is sent once per block: cells
-   of two blocks of ``BLOCK`` sets, each a task's group. In larger groups the stars
-   are compared in such cells, and all other pairs one by one, behind the suffix
-   filter.
+4. Verification. Candidates meet in cells of at most two blocks of ``BLOCK`` sets,
+   to which whole sets are sent (hashed again, for candidates only). In a cell the
+   sets are joined on their prefixes once more, and a pair that passes the length,
+   positional and suffix filters is verified by exact intersection, once: a pair of
+   sets has one cell. Pairs whose ends are known to be connected need no
+   verification, as the result is the groups.
+   First round: the cells hold the explicit pairs (a connected group of candidates
+   that fits one block is one cell) and the blocks of every star, its hub with each.
+   Second round: what a star has outside its largest connected part is compared with
+   all of the star. A group of m near copies that hang together so costs m sets sent
+   and about m verifications, not their square.
 5. Components of the links, by stars over distributed edges.
 
 Equal sets are one node throughout: copies meet in a pre-aggregated group-by.
@@ -29,8 +34,8 @@ Equal sets are one node throughout: copies meet in a pre-aggregated group-by.
 Defined results: null or empty text has size 0 and is linked with nothing; fewer
 than five words are one gram; repeated rows are copies of each other; different
 texts under one id are different documents, each in the group of its own links;
-rows with a null id get a null component; an empty table gives an empty result. Hashes have
-64 bits: two different sets are taken for equal with a chance of 2**-64 a pair.
+rows with a null id get a null component; an empty table gives an empty result. Ids
+may have any type that has an order. Hashes have 64 bits: two different sets are taken for equal with a chance of 2**-64 a pair.
 """
 
 from __future__ import annotations
@@ -51,10 +56,9 @@ GRAM = 5
 SHARE, WHOLE = 75, 100
 SKETCH = 1 << 20
 #: Longest posting list whose sets are paired directly.
-LIST = 128
-BLOCK = 256
-#: Blocks of a group of candidates that is compared whole at most.
-BLOCKS = 16
+LIST = 32
+#: Sets of a block; a cell holds two at most.
+BLOCK = 64
 #: Posting rows of a bucket at most, on average.
 BUCKET_ROWS = 1 << 20
 #: Ids that may be broadcast; beyond that they are joined by a shuffle.
@@ -69,8 +73,8 @@ _S29, _S32 = np.uint64(29), np.uint64(32)
 #: The sign bit is cleared: ids of sets and grams are non-negative Spark longs.
 _POSITIVE = np.uint64(0x7FFFFFFFFFFFFFFF)
 
-ROWS = "kind int, doc_id long, n long, node long, bucket int, blob binary"
-FOUND = "kind int, doc_id long, n long, node long, other long"
+ROWS = "kind int, doc_id {0}, n long, node long, bucket int, blob binary"
+FOUND = "kind int, doc_id {0}, n long, node long, other long"
 DOCUMENT, POSTINGS, PAIR, STAR, HUB = range(5)
 
 
@@ -131,9 +135,10 @@ def batches_of(rows: list[tuple], arrow, step: int = 4096) -> Iterator:
 def count_sketch(docs: DataFrame, text: str, sketch: int = SKETCH, gram: int = GRAM) -> np.ndarray:
     """Counts of hashed grams over all documents: a fixed number of counters.
 
-    Tasks add up their documents; what they have is summed in 64 slices by key.
+    Tasks add up their documents; what they have is summed in 64 slices by key. The
+    counters of a task are mostly small, so they travel byte by byte, compressed:
+    some 2 bits a counter.
     """
-    import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema, parts = schema_of("slice int, counts binary"), 64
@@ -145,34 +150,57 @@ def count_sketch(docs: DataFrame, text: str, sketch: int = SKETCH, gram: int = G
             found = [grams(t) for t in piece.column(0).to_pylist()]
             total += np.bincount((np.concatenate(found) & np.uint64(sketch - 1)).astype(np.int64), minlength=sketch)
         if total.any():
-            rows = [(n, total[n * width : (n + 1) * width].astype("<i8").tobytes()) for n in range(parts)]
-            yield from batches_of(rows, to_arrow_schema(schema))
+            yield from batches_of([(n, squeeze(total[n * width : (n + 1) * width])) for n in range(parts)], to_arrow_schema(schema))
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for n, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[n] = sums.get(n, 0) + np.frombuffer(counts, "<i8")
+                sums[n] = sums.get(n, 0) + stretch(counts)
         if sums:
-            yield from batches_of([(n, x.tobytes()) for n, x in sums.items()], to_arrow_schema(schema))
+            yield from batches_of([(n, squeeze(x)) for n, x in sums.items()], to_arrow_schema(schema))
 
     out = np.zeros(sketch, np.int64)
     for r in docs.select(text).mapInArrow(count, schema).repartition(parts, "slice").mapInArrow(add, schema).collect():
-        out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.counts, "<i8")
+        out[r.slice * width : (r.slice + 1) * width] = stretch(r.counts)
     return out
 
 
+def squeeze(counts: np.ndarray) -> bytes:
+    """64-bit counts byte by byte, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def stretch(blob: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
 POSTING = np.dtype([("gram", "<u8"), ("node", "<u8"), ("n", "<u4"), ("at", "<u4"), ("salted", "u1")])
 
 
-def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
+def rare_first(grams: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The prefix of a set: its grams in the common order, as many as the prefix filter wants."""
+    often = order[(grams & np.uint64(len(order) - 1)).astype(np.int64)]
+    return grams[np.lexsort((grams, often))[: prefix_size(len(grams))]]
+
+
+def ship_counts(docs: DataFrame, counts: np.ndarray):
+    """The counts as a broadcast: ``SKETCH`` numbers, whatever the input."""
+    return docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64))
+
+
+def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, ship, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
     """(rows of ROWS: every document, and packed postings by bucket; number of buckets)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     total = int(counts.sum())
     buckets = max(16, -(-total // (4 * bucket_rows)))
-    ship = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64))
-    schema, mask = schema_of(ROWS), np.uint64(len(counts) - 1)
+    schema, mask = schema_of(ROWS.format(docs.schema[key].dataType.simpleString())), np.uint64(len(counts) - 1)
 
     def run(batches):
         grams, order, arrow = Grams(gram), ship.value, to_arrow_schema(schema)
@@ -205,7 +233,7 @@ def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, gram
                 if not n or doc is None or node in seen:
                     continue
                 seen.add(node)
-                first = found[np.lexsort((found, order[(found & mask).astype(np.int64)]))[: prefix_size(n)]]
+                first = rare_first(found, order)
                 mine = np.zeros(len(first), POSTING)
                 mine["gram"], mine["node"], mine["n"], mine["at"] = first & KEY, node, n, np.arange(len(first))
                 mine["salted"] = order[(first & mask).astype(np.int64)] > bucket_rows
@@ -217,7 +245,7 @@ def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, gram
         if held:
             yield from flush()
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, schema), buckets
+    return docs.select(key, text).mapInArrow(run, schema), buckets
 
 
 def pack(part: np.ndarray) -> bytes:
@@ -284,7 +312,7 @@ def find_candidates(rows: DataFrame, buckets: int, longest: int = LIST) -> DataF
     """Rows of FOUND: documents as they are, candidate pairs, star edges and hubs."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = schema_of(FOUND)
+    schema = schema_of(FOUND.format(rows.schema["doc_id"].dataType.simpleString()))
 
     def run(batches):
         arrow, held, now = to_arrow_schema(schema), [], None
@@ -322,50 +350,55 @@ def suffix_apart(a: np.ndarray, b: np.ndarray, allowed: int, levels: int = 3) ->
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Verification of one pair of sorted sets, behind the length and suffix filters."""
     n, m = len(a), len(b)
     if not n or not m or WHOLE * min(n, m) < SHARE * max(n, m):
         return False
     need = needed_overlap(n, m)
     if suffix_apart(a, b, n + m - 2 * need):
         return False
-    return len(np.intersect1d(a, b, assume_unique=True)) >= need
+    if n > m:
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum()) >= need
 
 
 def fetch_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, gram: int) -> DataFrame:
-    """The wanted rows (node, rep, and any others) with the grams of one document of the node.
+    """(node, cells, grams) of the wanted (node, rep, cells): the grams of one document of the node.
 
-    Only candidate texts are hashed; nothing is shuffled while the wanted rows are
-    few enough to broadcast. Documents that repeat an id are counted first, and only
+    Only candidate texts are hashed; nothing is shuffled while what is wanted is
+    small enough to broadcast. Documents that repeat an id are counted first, and only
     where there are any the result is made distinct.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    few = wanted.count() <= BROADCAST_ROWS
+    few = (wanted.agg(F.sum(F.size("cells") + 1)).first()[0] or 0) <= BROADCAST_ROWS
     side = F.broadcast(wanted) if few else wanted
-    ids = docs.select(F.col(key).cast("long").alias("rep"))
+    ids = docs.select(F.col(key).alias("rep"))
     repeated = ids.join(side.select("rep"), "rep", "left_semi").groupBy("rep").count().filter("count > 1").limit(1).count()
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("body")).join(side, "rep")
-    columns = [c for c in wanted.columns if c != "rep"]
-    schema = schema_of(", ".join(["rep long", *(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in columns), "grams array<long>"]))
-    at = 1 + columns.index("node")
+    texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("body")).join(side, "rep")
+    schema = schema_of(f"node long, cells {wanted.schema['cells'].dataType.simpleString()}, grams array<long>")
 
     def run(batches):
+        import pyarrow as pa
+
         grams, arrow = Grams(gram), to_arrow_schema(schema)
         for piece in slices(batches):
-            rows = []
-            for row in zip(*[c.to_pylist() for c in piece.columns]):
-                found = grams(row[-1])
-                if grams.node(found) == row[at]:
-                    rows.append((*row[:-1], found.astype(np.int64)))
-            yield from batches_of(rows, arrow, 1024)
-
-    found = texts.select("rep", *columns, "body").mapInArrow(run, schema)
+            found = [grams(t) for t in piece.column(2).to_pylist()]
+            keep = [n for n, (x, node) in enumerate(zip(found, piece.column(0).to_pylist())) if grams.node(x) == node]
+            for at in range(0, len(keep), 1024):
+                some = keep[at : at + 1024]
+                sets = pa.array([found[n].astype(np.int64) for n in some], arrow.field("grams").type)
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(some), piece.column(1).take(some).cast(arrow.field("cells").type), sets], schema=arrow)
+
+    found = texts.select("node", "cells", "body").mapInArrow(run, schema)
     return found.dropDuplicates(["node"]) if repeated else found
 
 
 def arrays_of(column) -> list[np.ndarray]:
     """The lists of an Arrow column as numpy views."""
-    values, at = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), 0
+    values, at = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 0
     out = []
     for size in np.diff(column.offsets.to_numpy()):
         out.append(values[at : at + size])
@@ -373,79 +406,73 @@ def arrays_of(column) -> list[np.ndarray]:
     return out
 
 
-def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): the pairs of nodes that link."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = schema_of("a long, b long")
-    side = lambda n: sets.select(F.col("node").alias(f"node_{n}"), F.col("grams").alias(f"grams_{n}"))
-    both = pairs.withColumnsRenamed({"node": "node_a", "other": "node_b"}).join(side("a"), "node_a").join(side("b"), "node_b")
-
-    def run(batches):
-        arrow = to_arrow_schema(schema)
-        for piece in slices(batches):
-            a, b = arrays_of(piece.column(2)), arrays_of(piece.column(3))
-            ok = [linked(x, y) for x, y in zip(a, b)]
-            yield from batches_of([(i, k) for i, k, y in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), ok) if y], arrow)
-
-    return both.select("node_a", "node_b", "grams_a", "grams_b").mapInArrow(run, schema)
-
-
-def links_in_cell(nodes: np.ndarray, side: np.ndarray, grams: list[np.ndarray], diagonal: bool) -> list[tuple[int, int]]:
+def verify_pairs(nodes: np.ndarray, side: np.ndarray, grams: list[np.ndarray], order: np.ndarray, diagonal: bool) -> list[tuple[int, int]]:
     """A spanning forest of the links between the two sides of a cell (or within one).
 
-    An index of the grams of one side gives the overlaps of a set of the other with
-    all of them at once; only links that join two trees are kept.
+    Sets that share a gram of their prefixes are candidates; those that pass the
+    length and positional filters and are not connected yet are verified, each pair
+    once.
     """
     left = np.flatnonzero(side == 0)
     right = left if diagonal else np.flatnonzero(side == 1)
     if not len(left) or not len(right):
         return []
     sizes = np.array([len(g) for g in grams], np.int64)
-    flat, owner = np.concatenate([grams[i] for i in left]), np.repeat(np.arange(len(left)), sizes[left])
+    prefixes = {i: rare_first(grams[i], order) for i in {*left.tolist(), *right.tolist()}}
+    lengths = [len(prefixes[i]) for i in left.tolist()]
+    flat, owner, place = np.concatenate([prefixes[i] for i in left.tolist()]), np.repeat(left, lengths), np.concatenate([np.arange(n) for n in lengths])
     by = np.argsort(flat, kind="stable")
-    flat, owner = flat[by], owner[by]
-    parent = list(range(len(nodes)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    flat, owner, place = flat[by], owner[by], place[by]
+    tree = np.arange(len(nodes))  # the number of a set's tree in the forest
     out = []
     for j in right.tolist():
-        first, last = np.searchsorted(flat, grams[j]), np.searchsorted(flat, grams[j], side="right")
-        hit = last > first
-        if not hit.any():
-            continue
-        spans = last[hit] - first[hit]
-        where = np.repeat(first[hit] - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum())
-        overlap = np.bincount(owner[where], minlength=len(left))
-        for i in left[overlap >= needed_overlap(sizes[left], sizes[j])].tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[a] = b
+        first, last = np.searchsorted(flat, prefixes[j]), np.searchsorted(flat, prefixes[j], side="right")
+        spans = last - first
+        where = np.repeat(first - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum())
+        mine = np.repeat(np.arange(len(spans)), spans)
+        if diagonal:
+            earlier = owner[where] < j
+            where, mine = where[earlier], mine[earlier]
+        met, at = np.unique(owner[where], return_index=True)  # the first gram that two sets share
+        there, here = place[where[at]], mine[at]
+        n, m = sizes[met], sizes[j]
+        rest = 1 + np.minimum(n - there - 1, m - here - 1)
+        good = (tree[met] != tree[j]) & (WHOLE * np.minimum(n, m) >= SHARE * np.maximum(n, m)) & (rest >= needed_overlap(n, m))
+        for i in met[good].tolist():
+            if tree[i] != tree[j] and linked(grams[i], grams[j]):
+                tree[tree == tree[i]] = tree[j]
                 out.append((int(nodes[i]), int(nodes[j])))
     return out
 
 
-def verify_groups(placed: DataFrame) -> DataFrame:
-    """(a, b): links within groups, from (label, blocks, block, node, grams).
+CELL = ("kind", "label", "i", "k")
 
-    A set goes to a cell for every block of its group; a cell holds two blocks.
-    """
-    spread = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = spread.select("label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("k"), (F.col("block") > F.col("with")).cast("int").alias("side"), "node", "grams")
 
-    def work(frame):
-        import pandas as pd
+def cells_of(frame: DataFrame, **columns) -> DataFrame:
+    """(node, cell) rows: a cell is (kind, label, i, k), and the side of the node in it."""
+    return frame.select("node", F.struct(*[F.lit(columns[c]).cast("int").alias(c) if isinstance(columns[c], int) else columns[c].cast("long").alias(c) for c in (*CELL, "side")]).alias("cell"))
 
-        diagonal = bool((frame["i"] == frame["k"]).iloc[0])
-        found = links_in_cell(frame["node"].to_numpy(), frame["side"].to_numpy(), [np.asarray(g, np.int64) for g in frame["grams"]], diagonal)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return cells.groupBy("label", "i", "k").applyInPandas(work, "a long, b long")
+def verify(docs: DataFrame, key: str, text: str, cells: DataFrame, reps: DataFrame, ship, gram: int, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b): links of the pairs that meet in the cells, from (node, cell) rows."""
+    import pyarrow as pa
+
+    wanted = cells.groupBy("node").agg(F.collect_set("cell").alias("cells")).join(reps, "node")
+    wanted = scratch.save(wanted.select("node", "rep", "cells"), f"{name}-wanted")
+    sets = fetch_sets(docs, key, text, wanted, gram).select("node", F.explode("cells").alias("cell"), "grams").select("cell.*", "node", "grams")
+
+    def work(rows):
+        rows = rows.combine_chunks()
+        diagonal = rows["i"][0].as_py() == rows["k"][0].as_py() and not rows["kind"][0].as_py() == MIXED
+        column = lambda c: rows[c].chunk(0) if rows[c].num_chunks else rows[c].combine_chunks()
+        found = verify_pairs(column("node").to_numpy(), column("side").to_numpy(), arrays_of(column("grams")), ship.value, diagonal)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return scratch.save(sets.groupBy(*CELL).applyInArrow(work, "a long, b long"), f"{name}-links")
+
+
+#: Cells of explicit pairs, of the blocks of a star, and of a star's largest part against the rest.
+PAIRED, STARRED, MIXED, APART = range(4)
 
 
 def members(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -460,48 +487,78 @@ def in_blocks(groups: DataFrame, scratch: Scratch, name: str, block: int) -> Dat
     return groups.join(blocks, "label").select("node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
 
 
-def grouped_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, longest: int = LIST, block: int = BLOCK, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS, sketch: int = SKETCH) -> DataFrame:
+def first_cells(pairs: DataFrame, stars: DataFrame, scratch: Scratch, block: int) -> tuple[DataFrame, DataFrame]:
+    """(node, cell) rows of the first round, and the stars of groups larger than a block as (node, label, blocks, block)."""
+    near = scratch.save(in_blocks(members(pairs.unionByName(stars), scratch, "near"), scratch, "near", block), "near-placed")
+    large = near.filter("blocks > 1").select("node")
+    close = scratch.save(in_blocks(members(stars.join(large, "node", "left_semi"), scratch, "close"), scratch, "close", block), "close-placed")
+    zero = F.lit(0)
+    cells = cells_of(near.filter("blocks = 1"), kind=PAIRED, label=F.col("label"), i=zero, k=zero, side=zero)
+    cells = cells.unionByName(cells_of(close, kind=STARRED, label=F.col("label"), i=F.col("block"), k=F.col("block"), side=zero))
+    hubs = close.filter("node = label").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.unionByName(cells_of(hubs, kind=STARRED, label=F.col("label"), i=F.col("at"), k=F.col("at"), side=zero))
+    ends = near.filter("blocks > 1").select("node", "label", "block"), near.filter("blocks > 1").select(F.col("node").alias("other"), F.col("block").alias("far"))
+    inside = close.select("node", F.col("label").alias("one")), close.select(F.col("node").alias("other"), F.col("label").alias("two"))
+    loose = pairs.join(ends[0], "node").join(ends[1], "other").join(inside[0], "node", "left").join(inside[1], "other", "left").filter("one IS NULL OR two IS NULL OR one <> two")
+    low, high = F.least("block", "far"), F.greatest("block", "far")
+    for node, mine in (("node", "block"), ("other", "far")):
+        one = loose.select(F.col(node).alias("node"), "label", low.alias("i"), high.alias("k"), (F.col(mine) > low).cast("int").alias("side"))
+        cells = cells.unionByName(cells_of(one, kind=PAIRED, label=F.col("label"), i=F.col("i"), k=F.col("k"), side=F.col("side")))
+    return cells, close
+
+
+def second_cells(close: DataFrame, links: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """(node, cell) rows that compare what a star has outside its largest connected part with all of the star."""
+    parts = members(links.withColumnsRenamed({"a": "node", "b": "other"}), scratch, "first").withColumnRenamed("label", "part")
+    star = scratch.save(close.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "star-parts")
+    sizes = star.groupBy("label", "part").agg(F.count(F.lit(1)).alias("size"))
+    shape = sizes.groupBy("label").agg(F.max(F.struct("size", "part")).alias("most"), F.sum("size").alias("all"))
+    shape = shape.filter("all > most.size").select("label", F.col("most.part").alias("main"), F.ceil((F.col("all") - F.col("most.size")) / block).alias("rests"))
+    shape = scratch.save(shape, "star-shapes")
+    star = star.join(shape, "label").withColumn("rest", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")))
+    count = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    main, rest = star.filter("part = main").withColumn("at", F.explode(count("rests"))), star.filter("part <> main")
+    cells = cells_of(main, kind=MIXED, label=F.col("label"), i=F.col("block"), k=F.col("at"), side=F.lit(0))
+    cells = cells.unionByName(cells_of(rest.withColumn("at", F.explode(count("blocks"))), kind=MIXED, label=F.col("label"), i=F.col("at"), k=F.col("rest"), side=F.lit(1)))
+    apart = rest.withColumn("at", F.explode(count("rests")))
+    return cells.unionByName(cells_of(apart, kind=APART, label=F.col("label"), i=F.least("rest", "at"), k=F.greatest("rest", "at"), side=F.when(F.col("rest") > F.col("at"), 1).otherwise(0)))
+
+
+def grouped_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, longest: int = LIST, block: int = BLOCK, bucket_rows: int = BUCKET_ROWS, sketch: int = SKETCH, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n, node, component, first) of every row of ``docs``.
 
     ``component`` is the smallest id of the row's group and ``first`` the node of a
     text that has it: groups are of nodes, as an id may stand for several texts.
     """
-    scratch = Scratch(docs.sparkSession, "jaccard")
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     counts = count_sketch(docs, text, sketch, gram)
-    rows, buckets = make_postings(docs, key, text, counts, gram, bucket_rows)
+    ship = ship_counts(docs, counts)
+    rows, buckets = make_postings(docs, key, text, counts, ship, gram, bucket_rows)
     found = scratch.save(find_candidates(rows, buckets, longest), "found")
     documents = found.filter(F.col("kind") == DOCUMENT)
     classes = documents.filter("node IS NOT NULL").groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("rep IS NOT NULL")
     classes = scratch.save(classes, "classes")
+    reps = classes.select("node", "rep")
 
     pairs = scratch.save(found.filter(F.col("kind") == PAIR).select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct(), "pairs")
     hubs = found.filter(F.col("kind") == HUB).select(F.col("node").alias("gram"), F.col("other").alias("hub"))
     top = hubs.groupBy("gram").agg(F.min("hub").alias("top"))
     stars = found.filter(F.col("kind") == STAR).select("node", "other").unionByName(hubs.join(top, "gram").select(F.col("hub").alias("node"), F.col("top").alias("other")))
-    stars = scratch.save(stars, "stars")
-
-    # Groups of candidates that fit a few blocks are compared whole, their sets sent once.
-    every = in_blocks(members(pairs.unionByName(stars), scratch, "near"), scratch, "near", block)
-    small = every.filter(F.col("blocks") <= blocks)
-    # In larger ones only the stars are, and the pairs outside a star go two by two.
-    large = every.filter(F.col("blocks") > blocks).select("node")
-    close = in_blocks(members(stars.join(large, "node", "left_semi"), scratch, "close"), scratch, "close", block)
-    inside = close.select("node", F.col("label").alias("one")), close.select(F.col("node").alias("other"), F.col("label").alias("two"))
-    apart = pairs.join(large, "node", "left_semi").join(inside[0], "node", "left").join(inside[1], "other", "left").filter("one IS NULL OR two IS NULL OR one <> two").select("node", "other")
-    apart = scratch.save(apart, "apart")
-    reps = classes.select("node", "rep")
-    placed = scratch.save(small.unionByName(close).join(reps, "node"), "placed")
-    links = verify_groups(fetch_sets(docs, key, text, placed, gram))
-    ends = scratch.save(apart.select("node").unionByName(apart.select(F.col("other").alias("node"))).distinct().join(reps, "node"), "ends")
-    if ends.limit(1).count():
-        links = links.unionByName(verify_pairs(apart, scratch.save(fetch_sets(docs, key, text, ends, gram), "sets")))
-    links = scratch.save(links, "links")
+    stars = scratch.save(stars.distinct(), "stars")
+
+    cells, close = first_cells(pairs, stars, scratch, block)
+    links = verify(docs, key, text, cells, reps, ship, gram, scratch, "one")
+    if close.limit(1).count():
+        again = scratch.save(second_cells(close, links, scratch, block), "again")
+        if again.limit(1).count():
+            links = links.unionByName(verify(docs, key, text, again, reps, ship, gram, scratch, "two"))
     linked_nodes = members(links.withColumnsRenamed({"a": "node", "b": "other"}), scratch, "links")
     firsts = scratch.save(linked_nodes.join(reps, "node").groupBy("label").agg(F.min(F.struct("rep", "node")).alias("least")), "firsts")
     labels = linked_nodes.join(firsts, "label").select("node", F.col("least.rep").alias("component"), F.col("least.node").alias("first"))
 
     moved = classes.join(labels, "node", "left").select("node", "n", "rep", "copies", F.coalesce("component", "rep").alias("component"), F.coalesce("first", "node").alias("first"))
     moved = scratch.save(moved.filter("copies > 1 OR component <> rep OR first <> node").select("node", "n", "component", "first"), "moved")
+    scratch.drop_but("found", "moved")
     joined = documents.select("doc_id", "n", "node").join(moved, ["node", "n"], "left")
     return joined.select("doc_id", "n", "node", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component"), F.coalesce("first", "node").alias("first"))
 
@@ -538,10 +595,12 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options
     one stays.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
-    groups = scratch.save(grouped_rows(docs, text, key, **options), "groups")
-    kind, stays = docs.schema[key].dataType, (F.col("doc_id") == F.col("component")) & F.col("node").eqNullSafe(F.col("first"))
-    gone = groups.filter(F.col("doc_id").isNotNull() & ~stays).select(F.col("doc_id").cast(kind).alias("id")).distinct()
-    again = groups.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast(kind).alias("id")).count().filter("count > 1").select("id")
+    inner = Scratch(docs.sparkSession, "jaccard")
+    groups = scratch.save(grouped_rows(docs, text, key, scratch=inner, **options), "groups")
+    inner.drop()
+    stays = (F.col("doc_id") == F.col("component")) & F.col("node").eqNullSafe(F.col("first"))
+    gone = groups.filter(F.col("doc_id").isNotNull() & ~stays).select(F.col("doc_id").alias("id")).distinct()
+    again = groups.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).count().filter("count > 1").select("id")
     again = scratch.save(again, "again")
     repeated = again.limit(1).count()
     gone = gone.unionByName(again).distinct() if repeated else gone
@@ -552,7 +611,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options
         return kept
     name = f"{key} node"
     rows = with_node(docs.join(again, docs[key] == again["id"], "left_semi"), text, name, options.get("gram", GRAM))
-    firsts = groups.filter(stays).select(F.col("doc_id").cast(kind).alias("id"), F.coalesce("node", F.lit(-1)).alias("set")).join(again, "id", "left_semi").distinct()
+    firsts = groups.filter(stays).select(F.col("doc_id").alias("id"), F.coalesce("node", F.lit(-1)).alias("set")).join(again, "id", "left_semi").distinct()
     rows = rows.join(firsts, (rows[key] == firsts["id"]) & (rows[name] == firsts["set"]), "left_semi")
     return kept.unionByName(rows.dropDuplicates([key, name]).drop(name))
 

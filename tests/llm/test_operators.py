@@ -512,7 +512,7 @@ def near_copies(n, seed=1, words=60, edits=2):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"longest": 3, "block": 4}, {"longest": 3, "block": 4, "blocks": 2}, {"longest": 3, "block": 4, "blocks": 1, "bucket_rows": 16, "sketch": 1 << 8}, {"bucket_rows": 64, "sketch": 1 << 6}])
+@pytest.mark.parametrize("options", [{}, {"longest": 3, "block": 4}, {"longest": 3, "block": 64}, {"longest": 3, "block": 4, "bucket_rows": 16, "sketch": 1 << 8}, {"bucket_rows": 64, "sketch": 1 << 6}])
 def test_groups_by_brute_force(spark, options):
     shared = " ".join(f"common{i}" for i in range(40))
     texts = near_copies(30) + near_copies(12, 2, 30, 3) + ["A b C", "a B c", "a b", None, "", "a b c d e", "A B C D E F"]
@@ -535,7 +535,7 @@ def test_groups_of_odd_rows(spark, odd, empty):
     assert jaccard_join.keep_one(empty).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"longest": 3, "block": 4, "blocks": 1}])
+@pytest.mark.parametrize("options", [{}, {"longest": 3, "block": 4}])
 def test_ids_with_several_texts(spark, options):
     """Rows of one id with unequal texts, as if each had an id of its own."""
     texts = [f"{PROSE} {k} " + " ".join(f"own{k}x{i}" for i in range(400)) for k in range(6)]
