@@ -34,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own in local mode and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -68,8 +70,20 @@ class Scratch:
         return self.spark.read.parquet(self.at(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        """Remove the named tables, or all."""
         for target in [self.at(n) for n in names] or [self.path]:
-            path = jvm.org.apache.hadoop.fs.Path(target)
-            path.getFileSystem(conf).delete(path, True)
+            path, files = self.files(target)
+            files.delete(path, True)
+
+    def drop_but(self, *names: str) -> None:
+        """Remove all tables but the named ones."""
+        path, files = self.files(self.path)
+        for found in files.listStatus(path) if files.exists(path) else ():
+            if found.getPath().getName() not in names:
+                files.delete(found.getPath(), True)
+
+    def files(self, target: str) -> tuple:
+        """Hadoop path and file system of a place."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(target)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
