@@ -1,22 +1,25 @@
 """WARC archives with resolved revisits.
 
-``resolve_revisits`` shuffles record headers (never payloads) by payload digest,
-pre-aggregated, and keeps the digests that more than one record has; records
-whose digest is kept and that are not its original become revisits.
-``write_archives`` writes WARC 1.1 with Spark's text writer: a record ends with
-two line ends, so with that as line separator every file is a well-formed
-archive, on any file system that Spark writes, committed by Spark's own protocol.
-Files are gzip streams, bounded by a number of records. ``read_archives`` parses
-them back in a stream, by Content-Length, and ``join_revisits`` joins revisit
-records to the responses they name.
-
-A digest that a third of all records share is one row of the kept digests; the
-records' side of that join is a plain shuffle that adaptive execution splits.
+``resolve_revisits`` shuffles record headers by payload digest, pre-aggregated, and
+keeps the digests that more than one record has; records whose digest is kept and
+that are not its original become revisits. The kept digests are counted: up to
+``BROADCAST_ROWS`` go to the records, whose payloads stay where they are; more are
+joined by a shuffle on the digest, in which payloads travel once and which adaptive
+execution splits where a third of all records share a digest.
+
+``write_archives`` writes WARC 1.1, a gzip member for every record, so a record can
+be read alone from its offset. A task gathers members up to ``FILE_BYTES`` (or one
+longer record) and each such run is a file of Spark's text writer, on any file
+system that Spark writes, committed by Spark's own protocol. Files end with the
+writer's line separator, which is an empty gzip member. ``read_archives`` parses them back in
+a stream, by Content-Length, and ``join_revisits`` joins revisit records to the
+responses they name by record id and declared digest.
 
 Defined results: null html is the empty payload; a null url or page_id leaves its
 header out; equal payloads under one page_id are responses each if that is the
-largest page_id, and rows are never dropped; records without page_id revisit the
-largest one there is, and are responses where none has an id.
+largest page_id, unequal ones are records of their own with their own ids, and rows
+are never dropped; records without page_id revisit the largest one there is, and are
+responses where none has an id.
 """
 
 from __future__ import annotations
@@ -24,13 +27,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.rows import schema_of
+from tessera.llm.rows import schema_of, slices
 from tessera.session import Scratch, table
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Payloads of fewer bytes are stored whole even if others equal them.
 MIN_BYTES = 0
-RECORDS_PER_FILE = 20_000
+#: Compressed bytes of an archive at most, unless a single record is longer.
+FILE_BYTES = 64 << 20
+#: Shared digests (some 60 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 1 << 18
+#: An empty gzip member, as Latin-1.
+EMPTY_MEMBER = "\x1f\x8b\x08" + "\0" * 6 + "\x03\x03" + "\0" * 9
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 
@@ -47,9 +55,9 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*letters)
 
 
-def record_id(page_id: Column) -> Column:
-    """A stable urn:uuid for a page."""
-    h = F.md5(F.concat(F.lit("page:"), page_id.cast("string")))
+def record_id(page_id: Column, digest: Column) -> Column:
+    """A stable urn:uuid for a payload of a page."""
+    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("-none")), F.lit(" "), digest))
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
@@ -59,7 +67,7 @@ def with_payload(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload")).select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
 
 
-def resolve_revisits(records: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES) -> DataFrame:
+def resolve_revisits(records: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``records`` with record_type and refers_to (page_id of the response, else null)."""
     shared = (
         records.filter(F.col("payload_bytes") >= min_bytes)
@@ -69,6 +77,8 @@ def resolve_revisits(records: DataFrame, scratch: Scratch, min_bytes: int = MIN_
         .select("payload_digest", "original")
     )
     shared = scratch.save(shared, "shared")
+    if shared.count() <= broadcast_rows:
+        shared = F.broadcast(shared)
     revisit = F.col("original").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("original"))
     return records.join(shared, "payload_digest", "left").select(*records.columns, F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"))
 
@@ -79,28 +89,48 @@ def header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit(CRLF)), F.lit(""))
 
 
-def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
     """Write resolved records as gzipped WARC files under ``path``."""
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
-    block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
+    payload = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         header("WARC-Type", F.col("record_type")),
-        header("WARC-Record-ID", F.coalesce(record_id(F.col("page_id")), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))),
+        header("WARC-Record-ID", record_id(F.col("page_id"), F.col("payload_digest"))),
         header("WARC-Date", F.lit(date)),
         header("WARC-Target-URI", F.col("url")),
         header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        header("WARC-Refers-To", record_id(F.col("refers_to"))),
+        header("WARC-Refers-To", F.when(F.col("refers_to").isNotNull(), record_id(F.col("refers_to"), F.col("payload_digest")))),
         header("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         header("WARC-Page-ID", F.col("page_id")),
         header("Content-Type", F.lit("application/http; msgtype=response")),
-        header("Content-Length", F.octet_length("block")),
+        header("Content-Length", F.octet_length("http") + F.octet_length("body")),
         F.lit(CRLF),
-        F.col("block"),
+        F.col("http"),
     )
-    out = records.withColumn("block", block).select(head.alias("value"))
-    out.write.mode("overwrite").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    out = records.withColumn("http", http).withColumn("body", payload).select(head.cast("binary").alias("head"), F.col("body").cast("binary").alias("body"))
+
+    def run(batches):
+        import gzip
+
+        import pyarrow as pa
+
+        held, size = [], 0
+        for batch in slices(batches):
+            for head, body in zip(batch.column(0), batch.column(1)):
+                member = gzip.compress(head.as_py() + body.as_py() + b"\r\n\r\n", 6, mtime=0)
+                if held and size + len(member) > file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+
+    runs = out.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    writer = runs.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER)
+    writer.option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_archive(content: bytes):
@@ -155,24 +185,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, schema)
 
 
 def join_revisits(headers: DataFrame, scratch: Scratch) -> DataFrame:
     """Headers with the payload size and digest of the response behind every revisit, and refers_to."""
     headers = scratch.save(headers, "headers")
-    named = headers.filter("refers_to_id IS NOT NULL").select(F.col("refers_to_id").alias("named")).distinct()
-    responses = headers.filter("record_type = 'response'").join(named, F.col("record_id") == F.col("named"), "left_semi")
-    target = scratch.save(responses.groupBy(F.col("record_id").alias("target")).agg(F.min("page_id").alias("target_page"), F.min("payload_bytes").alias("target_bytes"), F.min("payload_digest").alias("target_digest")), "targets")
-    joined = headers.join(target, F.col("refers_to_id") == F.col("target"), "left")
+    named = headers.filter("refers_to_id IS NOT NULL").select(F.col("refers_to_id").alias("target"), F.col("declared_digest").alias("target_digest")).distinct()
+    responses = headers.filter("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("declared_digest").alias("target_digest"), F.struct(F.col("page_id").alias("page"), "payload_bytes", "payload_digest").alias("found"))
+    target = scratch.save(responses.join(named, ["target", "target_digest"], "left_semi").groupBy("target", "target_digest").agg(F.min("found").alias("found")), "targets")
+    joined = headers.join(target, (F.col("refers_to_id") == F.col("target")) & (F.col("declared_digest") == F.col("target_digest")), "left")
     return joined.select(
         "page_id",
         "url",
         "record_type",
-        F.coalesce("payload_bytes", "target_bytes").alias("payload_bytes"),
-        F.coalesce("payload_digest", "target_digest").alias("payload_digest"),
+        F.coalesce("payload_bytes", "found.payload_bytes").alias("payload_bytes"),
+        F.coalesce("payload_digest", "found.payload_digest").alias("payload_digest"),
         "declared_digest",
-        F.col("target_page").alias("refers_to"),
+        F.col("found.page").alias("refers_to"),
     )
 
 
