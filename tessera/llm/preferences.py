@@ -13,7 +13,8 @@ Defined results: turns are ordered by number, then role, then text, so repeated
 turns and equal numbers have one order; null roles are ``unknown``, null texts
 empty; rows without a conversation id belong to no conversation and are left out;
 equal conversations give a prompt and two empty completions; an empty or missing
-side gives an empty completion.
+side gives an empty completion; ids may be any whole numbers, negative ones and
+those beyond 2**53 included.
 """
 
 from __future__ import annotations
@@ -92,11 +93,12 @@ def swapped_replies(conversations: DataFrame) -> DataFrame:
     conversation without assistant turn is rejected as it is.
     """
     rows = conversations.filter("conv_id IS NOT NULL")
-    both = rows.groupBy(F.floor(F.col("conv_id") / 2).alias("pair")).agg(
-        F.min(F.when(F.col("conv_id") % 2 == 0, F.col("conv_id"))).alias("even_id"),
-        F.min(F.when(F.col("conv_id") % 2 != 0, F.col("conv_id"))).alias("odd_id"),
-        ordered_turns(F.col("conv_id") % 2 == 0).alias("even"),
-        ordered_turns(F.col("conv_id") % 2 != 0).alias("odd"),
+    is_even = F.col("conv_id").bitwiseAND(F.lit(1)) == 0
+    both = rows.groupBy(F.shiftright("conv_id", 1).alias("pair")).agg(
+        F.min(F.when(is_even, F.col("conv_id"))).alias("even_id"),
+        F.min(F.when(~is_even, F.col("conv_id"))).alias("odd_id"),
+        ordered_turns(is_even).alias("even"),
+        ordered_turns(~is_even).alias("odd"),
     )
     sides = F.array(F.struct(F.col("even_id").alias("conv_id"), F.col("even").alias("own"), F.col("odd").alias("other")), F.struct(F.col("odd_id").alias("conv_id"), F.col("odd").alias("own"), F.col("even").alias("other")))
     one = both.select(F.explode(sides).alias("s")).select("s.*").filter("conv_id IS NOT NULL")
