@@ -9,9 +9,10 @@ one onto the emptiest of the other, until one is left. Its windows are near-equa
 The number of windows starts at the least that could hold the block; whenever a
 window exceeds the capacity it rises by one and the block is dealt anew.
 
-Blocks are runs of rows inside a task: nothing is shuffled, a task holds the ids
-of one block, and a lost task is redone from its own input. A block's padding
-does not depend on the size of the corpus.
+Blocks are runs of rows inside a task, of ``BLOCK`` documents or ``BLOCK_IDS`` ids,
+whichever comes first: nothing is shuffled, a task holds the ids of one block, and
+a lost task is redone from its own input. A block's padding does not depend on the
+size of the corpus; a partition of few documents pads its last window.
 
 Defined results: null text is empty text, whose only id is the end id; repeated
 rows are packed each on its own; an empty table gives no pieces; a text of any
@@ -33,8 +34,8 @@ from tessera.session import table
 CAPACITY = 1024
 #: Longest piece of a rest, in ids; smaller pieces give less padding and more cuts.
 PIECE = 256
-#: Documents dealt together.
-BLOCK = 512
+#: Documents dealt together, and ids after which a block ends early.
+BLOCK, BLOCK_IDS = 512, 4 << 20
 END_ID = 0
 #: Blanks in a row that are encoded apart from the rest of their text.
 LONG_BLANKS = 1 << 16
@@ -52,12 +53,13 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of a byte-level BPE vocabulary, the same as the ``tokenizers`` file gives.
+    """Token ids of a byte-level BPE vocabulary, the same as ``tokenizers`` gives with the defaults of its file.
 
-    The vocabulary of the file is read into ``tiktoken``, whose ids of ordinary text
-    are equal and which is several times faster. Its pattern keeps a place to come
-    back to for every blank of a run and fails at a million of them, so a long run is
-    cut out first: all of it but a last blank before other text is one word of the
+    A text is cut at the added tokens of the file, which are ids of their own. The
+    vocabulary of the file is read into ``tiktoken``, whose ids of ordinary text are
+    equal and which is several times faster. Its pattern keeps a place to come back
+    to for every blank of a run and fails at a million of them, so a long run is cut
+    out first: all of it but a last blank before other text is one word of the
     pattern, and is encoded as one.
     """
 
@@ -72,14 +74,26 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         letters = byte_alphabet()
-        special = {t["content"] for t in model.get("added_tokens", [])}
-        ranks = {bytes(letters[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
+        added = model.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take in blanks or stand alone are not supported")
+        self.added = {t["content"]: t["id"] for t in added}
+        self.marks = re.compile("(" + "|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) + ")") if added else None
+        ranks = {bytes(letters[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in self.added}
         load = partial(tiktoken.Encoding, "vocabulary", mergeable_ranks=ranks, special_tokens={})
         self.encode = load(pat_str=public_tokenizers.PATTERN).encode_ordinary
         self.blanks = cache(lambda: load(pat_str=r"\s+").encode_ordinary)  # few tasks need it
         self.long_blanks, self.runs = long_blanks, re.compile(f"(?<![{BLANK}])[{BLANK}]{{{long_blanks},}}")
 
     def ids(self, text: str) -> list[int]:
+        if self.marks is None or not any(t in text for t in self.added):
+            return self.plain(text)
+        out = []
+        for part in self.marks.split(text):
+            out += [self.added[part]] if part in self.added else self.plain(part)
+        return out
+
+    def plain(self, text: str) -> list[int]:
         if len(text) < self.long_blanks:
             return self.encode(text)
         out, at = [], 0
@@ -155,7 +169,7 @@ def pack_block(block: list[tuple], capacity: int, piece: int, first_id: int) ->
     return rows, made + windows
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, piece: int = PIECE, block: int = BLOCK, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, piece: int = PIECE, block: int = BLOCK, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
     """``key`` and the columns of PIECES, a row for every piece; ``ids`` are little-endian unsigned 32-bit.
 
     ``sequence_id`` is the task's number in the upper bits and a count in the lower
@@ -184,7 +198,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
                 ids = np.array([*encoder.ids(t or ""), end_id], "<u4")
                 held.append((k, ids))
                 size += len(ids)
-                if len(held) >= block or size > 4 << 20:
+                if len(held) >= block or size > block_ids:
                     yield from flush()
         if held:
             yield from flush()
