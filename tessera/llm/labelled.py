@@ -25,6 +25,11 @@ def training_labels(labels: DataFrame, label: str, rows: int, key: str = "doc_id
 
 
 def training_documents(docs: DataFrame, labels: DataFrame, label: str, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, label) of the training sample: a broadcast of the bounded labels, no shuffle of texts."""
+    """(key, text, label) of the training sample, at most ``rows`` rows.
+
+    The bounded labels are broadcast, so only the texts of the sample are shuffled,
+    to one row an id: the least text of a repeated id counts, and null is empty text.
+    """
     picked = training_labels(labels, label, rows, key)
-    return docs.select(key, text).join(F.broadcast(picked), key)
+    found = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)).join(F.broadcast(picked), key)
+    return found.groupBy(key).agg(F.min(text).alias(text), F.first(label).alias(label))
