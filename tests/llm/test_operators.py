@@ -59,7 +59,6 @@ def check_packing(spark, frame, capacity=packing.CAPACITY, **options):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     rows = packing.pack_documents(frame, packing.default_tokenizer(), capacity=capacity, **options).collect()
     expected = Counter(tuple(t.encode(r.text or "", add_special_tokens=False).ids + [0]) for r in frame.collect())
     fill = {}
@@ -93,14 +92,17 @@ def test_packing_on_documents(spark):
     rows, fill = check_packing(spark, frame)
     padded = sum(1024 for f in fill.values() if (n := sum(x for _, x in f)) & (n - 1)) + sum(n for f in fill.values() if not (n := sum(x for _, x in f)) & (n - 1))
     assert sum(r.length for r in rows) / padded > 0.98
+    # partitions of a few documents pad their last windows only
+    few = packing.pack_documents(frame.repartition(20), packing.default_tokenizer())
+    sizes = [r["sum(length)"] for r in few.groupBy("sequence_id").sum("length").collect()]
+    assert sum(sizes) == sum(r.length for r in rows) and sum(sizes) / (1024 * len(sizes)) > 0.9
 
 
 def test_encoder_with_odd_blanks():
     from tokenizers import Tokenizer
 
     t, e = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer())
-    t.encode_special_tokens = True
-    for s in ["", " a", "a  b", "a \n b", "x\n\ny z", "it's  ", "　a b", "a  b", "<|endoftext|> a", "1234 é漢 b", "tab\tc d"]:
+    for s in ["", " a", "a  b", "a \n b", "x\n\ny z", "it's  ", "　a b", "a  b", "<|endoftext|> a", "1234 é漢 b", "tab\tc d", "a <|endoftext|><|endoftext|>  b <|endof", " <|endoftext|>"]:
         assert e.ids(s) == t.encode(s, add_special_tokens=False).ids, s
 
 
@@ -108,7 +110,6 @@ def test_encoder_with_long_blank_runs(spark):
     from tokenizers import Tokenizer
 
     t, e = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer())
-    t.encode_special_tokens = True
     texts = [f"a{' ' * 1_000_000}b", "\n" * 1_500_000, f"a{' ' * 1_000_000}\n, b{chr(0x3000) * 1_000_000}c d"]
     for s in texts:
         assert e.ids(s) == t.encode(s, add_special_tokens=False).ids
@@ -119,7 +120,6 @@ def test_encoder_cuts_at_blanks_without_a_trace():
     from tokenizers import Tokenizer
 
     t, e = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer(), long_blanks=2)
-    t.encode_special_tokens = True
     rng = np.random.default_rng(5)
     letters = list("  \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000ab'1.é漢") + ["    ", "\n\n\n", "'s", "<|endoftext|>"]
     for _ in range(2000):
@@ -234,6 +234,34 @@ def test_preference_cases(spark):
     assert preferences.format_preferences(none).count() == 0
 
 
+@pytest.mark.parametrize("base", [0, -6, 2**53, 2**63 - 8])
+def test_partners_of_any_id(spark, base):
+    """Every conversation is there once, beside its own partner, whatever its id."""
+    rows = [(base + c, n, role, f"{role} {c} {n}") for c in range(8) for n, role in enumerate(["user", "assistant"])]
+    got = {r.conv_id: r for r in preferences.swapped_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {base + c for c in range(8)}
+    for c in range(8):
+        assert [t.text for t in got[base + c].chosen] == [f"user {c} 0", f"assistant {c} 1"]
+        assert [t.text for t in got[base + c].rejected] == [f"user {c} 0", f"assistant {c ^ 1} 1"]
+
+
+def test_prefix_of_unequal_conversations(spark):
+    """Prefixes that end early, late, at once and with one side being a prefix of the other, by brute force."""
+    rng = np.random.default_rng(2)
+    sides = [[[(["user", "assistant"][n % 2], f"t{rng.integers(0, 2)}") for n in range(rng.integers(0, 6))] for _ in range(2)] for _ in range(60)]
+    rows = lambda s: [(p, n, *t) for p, pair in enumerate(sides) for n, t in enumerate(pair[s])]
+    frame = lambda s: spark.createDataFrame(rows(s), "pair_id long, turn int, role string, text string")
+    got = {r.pair_id: r for r in preferences.format_preferences(preferences.collect_pairs(frame(0), frame(1))).collect()}
+    write = lambda turns: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in turns)
+    assert set(got) == {p for p, pair in enumerate(sides) if pair[0] or pair[1]}
+    for p, r in got.items():
+        a, b = sides[p]
+        same = next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert (r.prompt_turns, r.prompt, r.chosen_completion, r.rejected_completion) == (same, write(a[:same]), write(a[same:]), write(b[same:]))
+        for rest, text, spans in ((a[same:], r.chosen_completion, r.chosen_spans), (b[same:], r.rejected_completion, r.rejected_spans)):
+            assert [text[s.start : s.end] for s in spans] == [f"{t}<|end|>" for role, t in rest if role == "assistant"]
+
+
 def test_preferences_stay_in_the_jvm(spark):
     plan = preferences.op5_preferences(spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -471,7 +499,7 @@ def test_warc_cases(spark):
     rows = [(1, "u\r\nX: y", "same", 1), (2, None, "same", 2), (3, "w", None, 3), (5, "w", "", 4), (7, "z", "line\r\n\r\nWARC/1.1\r\n\r\n", 5), (9, "é", "é\n", 6), (9, "é", "é\n", 7), (None, "n", "same", 8)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, payload_bytes int")
     scratch = Scratch(spark, "test-warc")
-    warc.write_archives(warc.resolve_revisits(warc.with_payload(frame), scratch), scratch.at("a"), records_per_file=2)
+    warc.write_archives(warc.resolve_revisits(warc.with_payload(frame), scratch, broadcast_rows=0), scratch.at("a"), file_bytes=900)
     headers = warc.read_archives(spark, scratch.at("a"))
     got = sorted((r.page_id or "", r.record_type, r.payload_bytes, r.refers_to or "") for r in warc.join_revisits(headers, scratch).collect())
     assert got == [("", "revisit", 4, "2"), ("1", "revisit", 4, "2"), ("2", "response", 4, ""), ("3", "revisit", 0, "5"), ("5", "response", 0, ""), ("7", "response", 20, ""), ("9", "response", 3, ""), ("9", "response", 3, "")]
@@ -481,6 +509,37 @@ def test_warc_cases(spark):
     assert big.count() == 0
 
 
+def test_warc_of_one_page_with_two_payloads(spark):
+    rows = [(5, "u", "AAAA"), (5, "u", "bb"), (3, "u", "AAAA"), (2, "u", "bb"), (2, "u", "ccc")]
+    scratch = Scratch(spark, "test-warc")
+    warc.write_archives(warc.resolve_revisits(warc.with_payload(spark.createDataFrame(rows, "page_id long, url string, html string")), scratch), scratch.at("a"))
+    headers = warc.read_archives(spark, scratch.at("a"))
+    assert headers.select("record_id").distinct().count() == 5
+    found = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.join_revisits(headers, scratch).collect()}
+    assert found == {("5", 4, "response", None), ("5", 2, "response", None), ("3", 4, "revisit", "5"), ("2", 2, "revisit", "5"), ("2", 3, "response", None)}
+    assert all(r.payload_digest == r.declared_digest for r in warc.join_revisits(headers, scratch).collect())
+
+
+def test_every_record_is_a_gzip_member(spark):
+    import zlib as z
+
+    rows = [(i, "u", f"payload {i} " * 50) for i in range(40)]
+    scratch = Scratch(spark, "test-warc")
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.resolve_revisits(warc.with_payload(frame), scratch), scratch.at("a"), file_bytes=3000)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(scratch.at("a")).collect()]
+    assert len(files) > 3 and all(len(f) <= 3000 + 20 for f in files)
+    members = []
+    for f in files:
+        while f:
+            d = z.decompressobj(31)
+            members.append(d.decompress(f) + d.flush())
+            f = d.unused_data
+    records = [m for m in members if m]
+    assert len(records) == 40 and len(members) - len(records) == len(files)
+    assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") and m.count(b"WARC/1.1") == 1 for m in records)
+
+
 # ---- 10 jaccard --------------------------------------------------------------
 
 

@@ -36,7 +36,6 @@ def test_stages_by_brute_force(spark, tmp_path):
         assert set(kept) == want, name
         before = kept
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert sum(r.length for r in pieces) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for x in before.values())
 
