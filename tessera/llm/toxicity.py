@@ -8,9 +8,12 @@ beside a group mention than alone.
 
 Learning: a bounded sample of labelled rows (``TRAIN_ROWS``) is hashed on the
 executors; how often each hash occurs with either label is counted there, and the
-``TERMS`` hashes most associated with the label by chi-square are kept. Only the
-kept hashes of the sampled rows reach the driver. Scoring is one narrow pass over
-all whole texts.
+``TERMS`` hashes most associated with the label by chi-square are kept. The first
+``ANCHORS`` of them are looked at again in company: of the terms beside an anchor,
+the ``PAIR_TERMS`` that move the share of toxic rows most away from the anchor's own
+are kept too, so that a term that is neutral alone (a group mention) can take part
+in pairs. These numbers bound the model, not the documents. Only the kept hashes of
+the sampled rows reach the driver. Scoring is one narrow pass over all whole texts.
 
 Defined results: null or empty text has no terms and gets the score of the
 intercept; with fewer than one labelled row of either kind every score is the
@@ -37,6 +40,8 @@ TRAIN_ROWS = 16_000
 HASH_BITS = 22
 #: Hashes kept, and the fewest training rows that hold one.
 TERMS, LEAST_ROWS = 1024, 3
+#: Terms whose company is looked at, and hashes kept for their effect beside one.
+ANCHORS, PAIR_TERMS = 64, 512
 FACTORS, EPOCHS, RATE, DECAY = 6, 15, 0.3, 1e-4
 #: Weight of a toxic row in the loss.
 POSITIVE = 1.0
@@ -118,8 +123,8 @@ def fit(rows: list[tuple[np.ndarray, int]], terms: np.ndarray, factors: int = FA
     return Machine(terms, bias, w, v)
 
 
-def associated_terms(hashed: DataFrame, label: str, terms: int = TERMS, least_rows: int = LEAST_ROWS) -> np.ndarray:
-    """The hashes most associated with the label, by chi-square, sorted."""
+def associated_terms(hashed: DataFrame, label: str, terms: int = TERMS, pair_terms: int = PAIR_TERMS, anchors: int = ANCHORS, least_rows: int = LEAST_ROWS) -> np.ndarray:
+    """The hashes most associated with the label, alone (chi-square) or beside an anchor, sorted."""
     sums = hashed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("y")).first()
     n, y = sums["n"], sums["y"]
     if not 0 < y < n:
@@ -127,27 +132,36 @@ def associated_terms(hashed: DataFrame, label: str, terms: int = TERMS, least_ro
     counted = hashed.select(F.explode("terms").alias("term"), label).groupBy("term").agg(F.count(F.lit(1)).alias("a"), F.sum(label).alias("b")).filter(F.col("a") >= least_rows)
     gap = F.col("b").cast("double") * n - F.col("a").cast("double") * y
     chi = gap * gap / (F.col("a").cast("double") * (n - F.col("a")) + 1)
-    return np.array(sorted(r.term for r in counted.orderBy(chi.desc(), "term").limit(terms).collect()), np.int64)
-
-
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text") -> Machine:
+    alone = counted.orderBy(chi.desc(), "term").limit(terms).collect()
+    first = alone[:anchors]
+    found = {r.term for r in alone}
+    if first and pair_terms:
+        rate = F.create_map(*[F.lit(x) for r in first for x in (r.term, r.b / r.a)])
+        beside = hashed.select(label, "terms", F.explode(F.array_intersect("terms", F.lit([r.term for r in first]))).alias("anchor"))
+        both = beside.select(label, "anchor", F.explode("terms").alias("term")).filter("term <> anchor").groupBy("anchor", "term").agg(F.count(F.lit(1)).alias("a"), F.sum(label).alias("b")).filter(F.col("a") >= least_rows)
+        share = F.element_at(rate, F.col("anchor"))
+        moved = (F.col("b") - F.col("a") * share) * (F.col("b") - F.col("a") * share) / (F.col("a") * share * (1 - share) + 1)
+        best = both.groupBy("term").agg(F.max(moved).alias("moved")).orderBy(F.desc("moved"), "term").limit(pair_terms + len(found)).collect()
+        found |= {r.term for r in [r for r in best if r.term not in found][:pair_terms]}
+    return np.array(sorted(found), np.int64)
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text", terms: int = TERMS, pair_terms: int = PAIR_TERMS, factors: int = FACTORS) -> Machine:
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = training_documents(docs, labels, label, rows, key, text)
     hashed = map_rows(sample, [text, label], f"terms array<int>, {label} int", lambda: lambda texts, ys, h=Hasher(): ((h(t), y) for t, y in zip(texts, ys)))
     hashed = scratch.save(hashed, "hashed")
-    terms = associated_terms(hashed, label)
+    chosen = associated_terms(hashed, label, terms, pair_terms)
 
     def kept(found, ys):
         for t, y in zip(found, ys):
-            at = np.searchsorted(terms, np.array(t, np.int64))
-            at = at[(at < len(terms))]
-            yield np.intersect1d(np.array(t, np.int64), terms[at]).tolist(), y
+            yield np.intersect1d(np.array(t, np.int64), chosen).tolist(), y
 
     picked = map_rows(hashed, ["terms", label], f"terms array<int>, {label} int", lambda: kept).collect()
     scratch.drop()
     # an order that does not depend on how the rows were dealt
     ordered = sorted((tuple(r.terms), r[label]) for r in picked)
-    return fit([(np.searchsorted(terms, np.array(t, np.int64)), y) for t, y in ordered], terms)
+    return fit([(np.searchsorted(chosen, np.array(t, np.int64)), y) for t, y in ordered], chosen, factors)
 
 
 class Scorer:
