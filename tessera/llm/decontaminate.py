@@ -6,10 +6,12 @@ into one automaton; each document is turned into word numbers once and scanned
 once. Matches are word ranges; where a caller asks for spans they are mapped back
 to character offsets of the original text, so text can be shown or cut exactly.
 
-The automaton is shipped to the tasks behind a check of its size: the bytes of
-the benchmark are summed first, and beyond ``SHARD_BYTES`` the items are dealt to
-several automata, each of which scans the documents in a pass of its own. All
-passes are narrow; no document is ever shuffled.
+The automaton is shipped to the tasks behind a check of its size, and built once in
+a Python worker, for all its tasks: the bytes of the benchmark are summed first, and
+beyond ``SHARD_BYTES`` the items are dealt to several automata, each of which scans
+the documents in a pass of its own, written to the shared scratch area. Driver and
+tasks hold one automaton's items at a time. All passes are narrow; no document is
+ever shuffled.
 
 Defined results: null or empty document text has no words, no hits and is clean;
 null item text has no windows; an item with a null id counts as the item with the
@@ -29,7 +31,7 @@ from pyspark.sql.types import StructType
 
 from tessera.llm.rows import schema_of, slices
 from tessera.llm.textnorm import ALNUM_WORD, alnum_spans, alnum_words
-from tessera.session import table
+from tessera.session import Scratch, table
 
 WINDOW = 13
 #: Bytes of benchmark text in one automaton (some ten times that in memory).
@@ -80,12 +82,24 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_shards(items: DataFrame, item: str, text: str, shard_bytes: int = SHARD_BYTES) -> list[list[tuple[str, str]]]:
-    """The benchmark in driver memory, one list for each automaton, each of a checked size."""
+#: The automaton that this worker built last, by the digest of its items.
+_BUILT: dict[str, Scanner] = {}
+
+
+def built(shard: list[tuple[str, str]], name: str, window: int) -> Scanner:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Scanner(shard, window)
+    return _BUILT[name]
+
+
+def item_shards(items: DataFrame, item: str, text: str, shard_bytes: int = SHARD_BYTES):
+    """(number of shards, the shards one by one as lists in driver memory, each of a checked size)."""
     items = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     count = max(1, -(-total // shard_bytes))
-    return [[(r.item, r.text) for r in (items if count == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == shard)).toLocalIterator()] for shard in range(count)]
+    shards = (items if count == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == shard) for shard in range(count))
+    return count, ([(r.item, r.text) for r in shard.collect()] for shard in shards)
 
 
 def scan_documents(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, spans: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -96,22 +110,29 @@ def scan_documents(docs: DataFrame, items: DataFrame, text: str = "text", item:
     """
     added = schema_of(HITS)
     docs = docs.drop(*added.names)
-    schema, at = StructType([*docs.schema.fields, *added.fields]), docs.columns.index(text)
-    for n, shard in enumerate(item_shards(items, item, item_text, shard_bytes)):
+    schema, at, own = StructType([*docs.schema.fields, *added.fields]), docs.columns.index(text), len(docs.columns)
+    count, shards = item_shards(items, item, item_text, shard_bytes)
+    scratch = Scratch(docs.sparkSession, "decontaminate") if count > 1 else None
+    for n, shard in enumerate(shards):
+        name = f"{window} {hashlib.sha256(repr(sorted(shard)).encode('utf-8', 'surrogatepass')).hexdigest()}"
         ship = docs.sparkSession.sparkContext.broadcast(shard)
 
-        def run(batches, ship=ship, n=n, last_only=len(docs.columns)):
+        def run(batches, ship=ship, n=n, name=name):
             import pyarrow as pa
 
-            scanner, arrow = Scanner(ship.value, window), to_arrow_schema(schema)
+            scanner, arrow = built(ship.value, name, window), to_arrow_schema(schema)
             for piece in slices(batches):
-                kept = piece.columns[:last_only] if n == 0 else piece.columns[: len(arrow) - len(added.fields)]
-                before = piece.columns[len(kept) :]
+                kept, before = piece.columns[:own], piece.columns[own:]
                 earlier = list(zip(*[c.to_pylist() for c in before])) if before else [None] * piece.num_rows
                 rows = [scored(scanner, t, spans, e) for t, e in zip(piece.column(at).to_pylist(), earlier)]
-                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v, f.type) for v, f in zip(zip(*rows), list(arrow)[len(kept) :])]], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v, f.type) for v, f in zip(zip(*rows), list(arrow)[own:])]], schema=arrow)
 
         docs = docs.mapInArrow(run, schema)
+        if scratch:
+            docs = scratch.save(docs, str(n))
+            ship.unpersist()
+            if n:
+                scratch.drop(str(n - 1))
     return docs
 
 
@@ -134,14 +155,17 @@ def contaminated(hits="leak_hits", words="leak_words"):
     return (F.col(hits) > 0) & (20 * F.col(hits) >= F.col(words))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their own columns only.
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", any_hit: bool = False, **options) -> DataFrame:
+    """The rows of ``docs`` without a hit word, or else (``any_hit`` off) that are not contaminated, with their own columns only.
 
-    Columns are renamed by position for the scan, so none of theirs can clash with ours.
+    Any place where a window of an item stands word for word lets a model learn that
+    item, however long the document around it; ``contaminated`` weighs the hits
+    against the length. Columns are renamed by position for the scan, so none of
+    theirs can clash with ours.
     """
     names = [f"c{n}" for n in range(len(docs.columns))]
     found = scan_documents(docs.toDF(*names), items, text=names[docs.columns.index(text)], spans=False, **options)
-    return found.filter(~contaminated()).select(*names).toDF(*docs.columns)
+    return found.filter(F.col("leak_hits") == 0 if any_hit else ~contaminated()).select(*names).toDF(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
