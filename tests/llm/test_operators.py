@@ -166,6 +166,75 @@ def test_machine_learns_a_pair():
     assert m.raw(np.array([2, 3])) > 0 > m.raw(np.array([2, 1]))
 
 
+def test_neutral_terms_are_kept_for_their_pairs(spark):
+    """Terms that say nothing alone decide beside others: found beside an anchor, and learned by the factors only."""
+    rng = np.random.default_rng(9)
+    kinds = [("insultword", "groupname", 1, 30), ("insultword", "tablething", 0, 15), ("praiseword", "groupname", 0, 30), ("praiseword", "tablething", 1, 15)]
+    rows = []
+    for a, b, y, times in kinds * 8:
+        rows += [(" ".join(rng.permutation([a, b, *(f"filler{k}x" for k in rng.integers(0, 300, 12))])), y) for _ in range(times)]
+    frame = docs(spark, *(t for t, _ in rows))
+    labels = spark.createDataFrame([(i, 0, y) for i, (_, y) in enumerate(rows)], LABELS)
+    right = {}
+    for factors in (0, 6):
+        machine = toxicity.learn(frame, labels, terms=8, pair_terms=24, factors=factors)
+        hashes = {z & ((1 << toxicity.HASH_BITS) - 1) for z in (zlib.crc32(b"w:" + w) for w in (b"groupname", b"tablething"))}
+        assert hashes <= set(machine.terms.tolist())
+        scorer = toxicity.Scorer(machine)
+        right[factors] = np.mean([(scorer(t) >= 0.5) == y for i, (t, y) in enumerate(rows) if zlib.crc32(str(i).encode()) % 5 == 0])
+    assert right[6] > 0.95 and right[6] > right[0] + 0.1, right
+
+
+def test_scores_by_hand():
+    """Score arithmetic of both models, term by term and pair by pair."""
+    rng = np.random.default_rng(4)
+    terms = np.unique(rng.integers(0, 1 << toxicity.HASH_BITS, 50))
+    m = toxicity.Machine(terms, 0.3, rng.normal(size=len(terms)), rng.normal(size=(len(terms), 3)))
+    for _ in range(20):
+        x = np.sort(rng.choice(len(terms), rng.integers(0, 9), replace=False))
+        want = 0.3 + sum(m.weights[i] for i in x) + sum(float(m.factors[i] @ m.factors[k]) for n, i in enumerate(x) for k in x[n + 1 :])
+        assert m.raw(x) == pytest.approx(want)
+    h = toxicity.Hasher()
+    text = "Some wording, SOME more"
+    assert h(text) == sorted({zlib.crc32(z) & ((1 << toxicity.HASH_BITS) - 1) for z in (b"w:some", b"w:wording", b"4:word", b"5:wordi", b"w:more")})
+    word = toxicity.Machine(np.array([zlib.crc32(b"w:some") & ((1 << toxicity.HASH_BITS) - 1)]), -1.0, np.array([2.5]), np.zeros((1, 3)))
+    assert toxicity.Scorer(word)(text) == pytest.approx(1 / (1 + np.exp(-1.5)))
+    base = rng.random((6, quality_model.N_BASE))
+    r = quality_model.Ranking(rng.normal(size=2 * quality_model.N_BASE - 1), rng.random(2 * quality_model.N_BASE - 1), 1 + rng.random(2 * quality_model.N_BASE - 1), 0.2, 3.0)
+    for row, place, score in zip(base, r.place(base), r.score(base)):
+        x = [*row, *(v * v for v in row[1:])]
+        by_hand = sum((v - c) / s * w for v, c, s, w in zip(x, r.centre, r.spread, r.weights))
+        assert place == pytest.approx(by_hand)
+        odds = np.exp(3.0 * (by_hand - 0.2)) * quality_model.CUT / (1 - quality_model.CUT)
+        assert score == pytest.approx(odds / (1 + odds))
+
+
+def test_ranking_is_the_least_loss_of_the_pairs():
+    """The fitted direction has no slope left: the loss of all its pairs is as small as numbers nearby allow."""
+    rng = np.random.default_rng(5)
+    base = rng.random((80, quality_model.N_BASE))
+    labels = (base[:, 3] + 0.3 * rng.random(80) > 0.6).astype(int)
+    r = quality_model.fit(base, labels, pairs=3000)
+    x = (quality_model.expanded(base) - r.centre) / r.spread
+    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+    draw = np.random.default_rng(11)
+    gap = x[draw.choice(good, 3000)] - x[draw.choice(bad, 3000)]
+    loss = lambda w: np.mean(np.log1p(np.exp(-gap @ w))) + quality_model.DECAY * (w @ w) / 2
+    assert all(loss(r.weights) <= loss(r.weights + rng.normal(0, 0.01, len(r.weights))) for _ in range(200))
+    place = r.place(base)
+    assert r.threshold == pytest.approx(np.quantile(place, len(bad) / 80))
+
+
+def test_one_training_row_for_an_id(spark):
+    from tessera.llm.labelled import training_documents
+
+    frame = docs(spark, *(["b", "a", None] * 20 + ["c", None]), ids=[1] * 60 + [2, 3])
+    labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (2, 1, 0), (3, 1, 1), (4, 1, 1)], LABELS)
+    got = sorted(tuple(r) for r in training_documents(frame, labels, "toxic", 10).select("doc_id", "text", "toxic").collect())
+    assert got == [t for t in [(1, "", 1), (2, "c", 0), (3, "", 1)] if zlib.crc32(str(t[0]).encode()) % 5]
+    assert training_documents(frame, labels, "toxic", 2).count() <= 2
+
+
 @pytest.mark.parametrize("rows", [[], [(4, 1, 1)], [(4, 1, 1), (6, 0, 0), (None, 1, 1), (7, None, None)]])
 def test_scores_of_odd_rows(spark, odd, empty, rows):
     labels = spark.createDataFrame(rows or [(0, 0, 0)], LABELS).limit(len(rows))
@@ -296,6 +365,8 @@ def test_leaks_by_brute_force(spark, odd, empty, shard_bytes):
     assert decontaminate.scan_documents(odd, b).count() == 9 and decontaminate.scan_documents(empty, b).count() == 0
     none = items(spark)
     assert decontaminate.drop_contaminated(odd, none).count() == 9
+    for options in ({}, {"any_hit": False}, {"shard_bytes": 60}):
+        assert sorted(r.doc_id for r in decontaminate.drop_contaminated(frame, b, **options).collect()) == [3, 4, 5, 6]
     kept = decontaminate.drop_contaminated(frame, b)
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
 
