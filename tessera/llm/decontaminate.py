@@ -155,7 +155,7 @@ def contaminated(hits="leak_hits", words="leak_words"):
     return (F.col(hits) > 0) & (20 * F.col(hits) >= F.col(words))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", any_hit: bool = False, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", any_hit: bool = True, **options) -> DataFrame:
     """The rows of ``docs`` without a hit word, or else (``any_hit`` off) that are not contaminated, with their own columns only.
 
     Any place where a window of an item stands word for word lets a model learn that
