@@ -37,10 +37,12 @@ def windows_of(pages: DataFrame, keys: list[str]) -> DataFrame:
     count = F.when(F.col("n") <= WINDOW, 1).otherwise(F.ceil((F.col("n") - WINDOW) / STEP).cast("int") + 1)
     tail = F.col("n") - STEP * (count - 1)
     count = F.when((count > 1) & ~F.col("is_last") & tail.isin(*TAILS), count - 1).otherwise(count)
-    many = cut.filter(F.col("n") >= MIN_TOKENS).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), count - 1)))
-    many = many.select(*keys, "chunk_no", strip(F.array_join(F.slice("toks", F.col("chunk_no") * STEP + 1, F.lit(WINDOW)), "")).alias("chunk")).filter(F.length("chunk") >= MIN_CHARS)
-    whole = cut.filter((F.col("n") < MIN_TOKENS) & F.col("is_last") & (F.length("text") >= MIN_TEXT)).select(*keys, F.lit(0).alias("chunk_no"), F.col("text").alias("chunk"))
-    return many.unionByName(whole)
+    count = F.when(F.col("n") >= MIN_TOKENS, count).when(F.col("is_last"), 1).otherwise(0)
+    each = cut.withColumn("count", count).filter("count > 0").withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    piece = strip(F.array_join(F.slice("toks", F.col("chunk_no") * STEP + 1, F.lit(WINDOW)), ""))
+    is_window = F.col("n") >= MIN_TOKENS
+    chunks = each.select(*keys, "chunk_no", is_window.alias("is_window"), F.when(is_window, piece).otherwise(F.col("text")).alias("chunk"))
+    return chunks.filter(F.length("chunk") >= F.when(F.col("is_window"), MIN_CHARS).otherwise(MIN_TEXT)).drop("is_window")
 
 
 def carried_pages(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import search
-from tessera.session import table
+from tessera.session import Scratch, table
 
 DIMENSION, SOURCES = 64, 3
 
@@ -69,10 +69,10 @@ def passage_fetch(spark, sf_dir):
     return sources(spark, sf_dir).select("item_id", "rank", "doc_id", "score", "cosine", F.coalesce(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")), F.lit("unknown.pdf")).alias("filename"), F.md5(T.snippet(F.col("passage"))).alias("digest"))
 
 
-def overlaps(spark, sf_dir) -> DataFrame:
-    """Sentences of the sources that share a term with their question."""
+def overlaps(spark, sf_dir, found: DataFrame | None = None) -> DataFrame:
+    """Sentences of the sources (found before, or now) that share a term with their question."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", T.terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    s = sources(spark, sf_dir).select("item_id", "rank", "score", F.explode(T.sentences(F.col("passage"))).alias("s"))
+    s = (sources(spark, sf_dir) if found is None else found).select("item_id", "rank", "score", F.explode(T.sentences(F.col("passage"))).alias("s"))
     s = s.select("item_id", "rank", "score", F.col("s.pos").alias("pos"), F.col("s.sentence").alias("sentence"))
     return s.join(asked, "item_id").withColumn("overlap", F.size(F.array_intersect(T.words(F.col("sentence")), F.col("terms")))).filter("overlap > 0")
 
@@ -81,11 +81,11 @@ def sentence_overlap(spark, sf_dir):
     return overlaps(spark, sf_dir).select("item_id", "rank", "pos", "overlap")
 
 
-def findings(spark, sf_dir) -> DataFrame:
+def findings(spark, sf_dir, found: DataFrame | None = None) -> DataFrame:
     """(item_id, line_no, rank, sentence): the best four sentences, then without repeats."""
     value = F.col("overlap") + F.when(F.col("score") < 2, F.col("score")).otherwise(F.col("score") / 10000)
     order = Window.partitionBy("item_id").orderBy(value.desc(), "rank", "pos")
-    four = overlaps(spark, sf_dir).withColumn("place", F.row_number().over(order)).filter("place <= 4")
+    four = overlaps(spark, sf_dir, found).withColumn("place", F.row_number().over(order)).filter("place <= 4")
     again = F.row_number().over(Window.partitionBy("item_id", "sentence").orderBy("place"))
     return four.withColumn("again", again).filter("again = 1").select("item_id", F.col("place").alias("line_no"), "rank", "sentence")
 
@@ -116,14 +116,14 @@ def rag_prompt(spark, sf_dir):
 
 
 def rag_answer(spark, sf_dir):
-    """Cited extractive answers: findings (or excerpts of two sources), then the top source."""
-    found = sources(spark, sf_dir)
+    """Cited extractive answers: findings (or excerpts of two sources), then the top source; the sources are found once."""
+    found = Scratch(spark, "answer").save(sources(spark, sf_dir), "sources")
     line = F.concat(F.lit("• "), F.col("sentence"), F.lit(" [Source "), F.col("rank").cast("string"), F.lit("]"))
-    said = findings(spark, sf_dir).groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+    said = findings(spark, sf_dir, found).groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
     excerpt = F.concat(F.lit('• "'), T.strip(F.substring("passage", 1, 250)), F.lit('..." [Source '), F.col("rank").cast("string"), F.lit("]"))
     spare = found.filter("rank <= 2").groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", excerpt.alias("l")))), lambda x: x["l"]), "\n").alias("spare"))
-    top = found.filter("rank = 1").select("item_id", F.concat(F.lit("The primary relevant literature is **doc_"), F.col("doc_id").cast("string"), F.lit(".txt** (Page 0) with similarity score **"), number(F.col("cosine")), F.lit("**. Retrieved text directly matches query semantic features.")).alias("tail"))
-    answer = F.concat(F.lit("### Grounded Findings\n"), F.coalesce("lines", "spare"), F.lit("\n\n### Technical Context\n"), F.col("tail"))
+    top = found.filter("rank = 1").select("item_id", F.concat(F.lit("Closest text: doc_"), F.col("doc_id").cast("string"), F.lit(".txt, page 0, cosine "), number(F.col("cosine")), F.lit(".")).alias("tail"))
+    answer = F.concat(F.lit("What the sources say:\n"), F.coalesce("lines", "spare"), F.lit("\n\nWhere it stands:\n"), F.col("tail"))
     return top.join(spare, "item_id").join(said, "item_id", "left").select("item_id", F.md5(answer).alias("digest"))
 
 
@@ -196,7 +196,7 @@ SELECT conv_id, turn, chunk_no, md5(chunk) AS digest FROM chunks""",
     "rag_prompt": f"WITH {_SRC}, {_CTX} SELECT item_id, md5('Answer from the numbered sources only and cite them as [Source n].' || chr(10) || chr(10) || 'Sources:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text) AS digest FROM cx JOIN benchmark USING (item_id)",
     "rag_answer": f"""WITH {_FIND}, ln AS (SELECT item_id, string_agg('• ' || sentence || ' [Source ' || rank || ']', chr(10) ORDER BY line_no) AS lines FROM fd GROUP BY 1),
 sp AS (SELECT item_id, string_agg('• "' || {_STRIP.format("substr(passage, 1, 250)")} || '..." [Source ' || rank || ']', chr(10) ORDER BY rank) AS spare FROM src WHERE rank <= 2 GROUP BY 1)
-SELECT item_id, md5('### Grounded Findings' || chr(10) || coalesce(lines, spare) || chr(10) || chr(10) || '### Technical Context' || chr(10) || 'The primary relevant literature is **doc_' || doc_id || '.txt** (Page 0) with similarity score **' || printf('%.4f', cosine) || '**. Retrieved text directly matches query semantic features.') AS digest
+SELECT item_id, md5('What the sources say:' || chr(10) || coalesce(lines, spare) || chr(10) || chr(10) || 'Where it stands:' || chr(10) || 'Closest text: doc_' || doc_id || '.txt, page 0, cosine ' || printf('%.4f', cosine) || '.') AS digest
 FROM src JOIN sp USING (item_id) LEFT JOIN ln USING (item_id) WHERE rank = 1""",
 }
 QUERIES = {f.__name__: f for f in (text_scan, chunk_windows, chunk_length_stats, chunk_pages_carry, passage_snippet, sentence_split, query_terms, hash_embed, passage_fetch, sentence_overlap, extractive_answer, grounded_context, rag_prompt, rag_answer)}
