@@ -15,17 +15,36 @@ MAGIC, VERSION = 0x4244424D, 4
 WORD = 4294967295
 
 
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def sync_diff(catalog: DataFrame, disk: DataFrame) -> DataFrame:
-    """Status of every file of the live catalog or the disk: new, modified, unchanged or deleted."""
-    old = catalog.filter(~F.col("is_deleted")).select("filename", "doc_id", F.col("file_size").alias("old_size"), F.col("last_write_time").alias("old_time"))
-    both = old.join(disk.select("filename", "file_size", "last_write_time"), "filename", "full_outer")
+    """Status of every file of the live catalog or the disk: new, modified, unchanged or deleted.
+
+    A catalog entry belongs to the file of its relative path; an entry that names no
+    folder belongs to the file of that base name where exactly one is left. So files of
+    one name in several folders stay apart.
+    """
+    old = catalog.filter(~F.col("is_deleted")).select(F.col("filename").alias("entry"), "doc_id", F.col("file_size").alias("old_size"), F.col("last_write_time").alias("old_time"))
+    new = disk.select("filename", "file_size", "last_write_time")
+    same = old.join(new, F.col("entry") == F.col("filename"), "left")
+    found = same.filter("filename IS NOT NULL")
+    bare = same.filter("filename IS NULL AND NOT contains(entry, '/')").select("entry", "doc_id", "old_size", "old_time")
+    rest = new.join(found.select("filename"), "filename", "left_anti").withColumn("base", base_name(F.col("filename")))
+    single = rest.groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("filename", "file_size", "last_write_time")).alias("f")).filter("n = 1")
+    by_name = bare.join(single, F.col("entry") == F.col("base")).select("entry", "doc_id", "old_size", "old_time", "f.*")
+    matched = found.unionByName(by_name)
+    gone = old.join(matched.select("doc_id"), "doc_id", "left_anti").select("entry", "doc_id", "old_size", "old_time")
+    fresh = new.join(matched.select("filename"), "filename", "left_anti")
+    both = matched.unionByName(gone, allowMissingColumns=True).unionByName(fresh, allowMissingColumns=True)
     status = (
         F.when(F.col("old_size").isNull(), "new")
         .when(F.col("file_size").isNull(), "deleted")
         .when((F.col("old_size") == F.col("file_size")) & (F.col("old_time") == F.col("last_write_time")), "unchanged")
         .otherwise("modified")
     )
-    return both.select("filename", "doc_id", status.alias("status"), status.isin("new", "modified").alias("pending"), status.isin("modified", "deleted").alias("tombstoned"))
+    return both.select(F.coalesce("filename", "entry").alias("filename"), "doc_id", status.alias("status"), status.isin("new", "modified").alias("pending"), status.isin("modified", "deleted").alias("tombstoned"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.vectors import PLAN, Index, segment_counts
+from tessera.plans.vectors import PLAN, open_index, segment_counts
 from tessera.session import table
 
 #: Edges of the storage and access classes of the heat map; the last class is open.
@@ -18,7 +18,7 @@ CHECKPOINTS, STEPS = (10, 20, 40), (5, 10, 20, 25, 50, 100)
 
 
 def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     hits = ix.plan().withColumn("query_idx", (F.col("query_id") / 20).cast("long") + 1)
     seg = segment_counts(ix)
     log = hits.join(seg, "segment_id").groupBy("query_idx").agg(F.count(F.lit(1)).alias("probes"), F.sum("n").alias("records_scored"))
@@ -58,13 +58,30 @@ SELECT hot_probes, count(*) AS queries, round(avg(total_latency_ms), 6) AS mean_
     "workload_scaling": f"""WITH {_values('st', 's', STEPS)}, n AS (SELECT count(*) AS total FROM {{log}}), ks AS (SELECT DISTINCT least(s, total) AS k FROM st CROSS JOIN n),
 g AS (SELECT k, coalesce(avg(CASE WHEN total_latency_ms > 0 THEN total_latency_ms END), 20.0) AS mean, sum(total_latency_ms) AS total_ms, sum(bulk_io_kb) AS kb, CAST(sum(probes) AS BIGINT) AS extents FROM ks JOIN {{log}} l ON l.query_idx <= ks.k GROUP BY k)
 SELECT k AS prompts, round(total_ms / 1000, 3) AS cumulative_s, round(mean, 2) AS mean_ms, round(1000 / mean, 1) AS qps, round(kb / 1024, 2) AS cumulative_mb, extents FROM g""",
-    "bench_summary": """WITH ok AS (SELECT *, row_number() OVER (ORDER BY total_latency_ms) AS r, count(*) OVER () AS n FROM {log} WHERE success)
-SELECT max(n) AS queries, round(avg(total_latency_ms), 6) AS mean_ms, round(median(total_latency_ms), 6) AS p50, max(CASE WHEN r = floor(n * 0.9) + 1 THEN total_latency_ms END) AS p90, max(CASE WHEN r = floor(n * 0.95) + 1 THEN total_latency_ms END) AS p95, max(total_latency_ms) AS p99, round(avg(CASE WHEN disk_ms > 0 THEN disk_ms END), 6) AS mean_disk, round(avg(bulk_io_kb), 6) AS mean_io FROM ok""",
     "compare_runs": """WITH b AS (SELECT query_idx, total_latency_ms AS a_ms, total_latency_ms + CASE WHEN query_idx % 2 = 0 THEN 3 ELSE -1 END AS b_ms, success FROM {log})
 SELECT count(*) AS queries, round(avg(a_ms), 6) AS a_mean, round(avg(b_ms), 6) AS b_mean, round(avg(b_ms) - avg(a_ms), 6) AS gap, CAST(sum(CASE WHEN b_ms < a_ms THEN 1 ELSE 0 END) AS BIGINT) AS b_wins FROM b""",
 }
 
 
+def bench_summary(spark, sf_dir):
+    """Latency of the queries that succeeded; percentiles by place, from counts of the distinct times."""
+    ok = frames(spark, sf_dir)["log"].filter("success")
+    by_time = ok.groupBy("total_latency_ms").agg(F.count(F.lit(1)).alias("c"))
+    total = ok.agg(
+        F.count(F.lit(1)).alias("queries"),
+        F.round(F.avg("total_latency_ms"), 6).alias("mean_ms"),
+        F.round(F.median("total_latency_ms"), 6).alias("p50"),
+        F.max("total_latency_ms").alias("p99"),
+        F.round(F.avg(F.when(F.col("disk_ms") > 0, F.col("disk_ms"))), 6).alias("mean_disk"),
+        F.round(F.avg("bulk_io_kb"), 6).alias("mean_io"),
+    )
+    # the time at a place: the least one with so many at or below it
+    below = by_time.alias("a").join(by_time.alias("b"), F.col("b.total_latency_ms") <= F.col("a.total_latency_ms")).groupBy(F.col("a.total_latency_ms").alias("ms")).agg(F.sum("b.c").alias("reach"))
+    at = lambda p: F.min(F.when(F.col("reach") >= F.floor(F.col("queries") * p) + 1, F.col("ms")))
+    places = below.crossJoin(F.broadcast(total.select("queries"))).agg(at(0.9).alias("p90"), at(0.95).alias("p95"))
+    return total.crossJoin(places).select("queries", "mean_ms", "p50", "p90", "p95", "p99", "mean_disk", "mean_io")
+
+
 def common(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.sql(COMMON[name], **{k: v for k, v in frames(spark, sf_dir).items() if f"{{{k}}}" in COMMON[name]})
@@ -106,13 +123,15 @@ def events_tumbling(spark, sf_dir):
     return e.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total")).select(F.unix_timestamp("w.start").alias("window_start"), "event_type", "events", "users", "total")
 
 
+SUMMARY = """WITH ok AS (SELECT *, row_number() OVER (ORDER BY total_latency_ms) AS r, count(*) OVER () AS n FROM {log} WHERE success)
+SELECT max(n) AS queries, round(avg(total_latency_ms), 6) AS mean_ms, round(median(total_latency_ms), 6) AS p50, max(CASE WHEN r = floor(n * 0.9) + 1 THEN total_latency_ms END) AS p90, max(CASE WHEN r = floor(n * 0.95) + 1 THEN total_latency_ms END) AS p95, max(total_latency_ms) AS p99, round(avg(CASE WHEN disk_ms > 0 THEN disk_ms END), 6) AS mean_disk, round(avg(bulk_io_kb), 6) AS mean_io FROM ok"""
 
 
 def _sql() -> dict[str, str]:
     from tessera.plans import vectors
 
     out = {}
-    for name, text in COMMON.items():
+    for name, text in (COMMON | {"bench_summary": SUMMARY}).items():
         text = text.format(hits="hits", seg="seg", log="log")
         out[name] = f"WITH {_FRAMES}, " + text.removeprefix("WITH ")
     out["prompt_variations"] = "WITH s AS (SELECT unnest([" + ", ".join(f"'{s}'" for s in SUFFIXES) + "]) AS suffix, unnest(range(0, 8)) AS n) SELECT item_id, CAST(n AS INTEGER) AS n, md5(trim(text) || ' ' || suffix) AS digest FROM benchmark, s"
@@ -122,4 +141,4 @@ def _sql() -> dict[str, str]:
 
 
 SQL = _sql()
-QUERIES = {name: common(name) for name in COMMON} | {f.__name__: f for f in (prompt_variations, log_parse, events_tumbling)}
+QUERIES = {name: common(name) for name in COMMON} | {f.__name__: f for f in (bench_summary, prompt_variations, log_parse, events_tumbling)}
