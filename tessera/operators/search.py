@@ -15,6 +15,10 @@ from tessera.functions import vectors as V
 
 #: Query vectors that one pass of the exact search ships to the tasks.
 QUERY_BLOCK = 20_000
+#: Bytes of the scores that a task holds at a time, and records of a batch.
+TILE_BYTES, BATCH = 64 << 20, 4096
+#: Segments of the directory that may be broadcast.
+BROADCAST_ROWS = 1 << 16
 
 
 def top_k(scored: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
@@ -23,32 +27,64 @@ def top_k(scored: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+class Best:
+    """The k best (score, key) of every query seen so far, ties by key."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.score, self.key = k, np.full((queries, 0), 0, np.int64), np.empty((queries, 0), object)
+
+    def add(self, tile: slice, scores: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best of a tile's queries among what it had and new scores of ``keys``."""
+        held, names = self.score[tile], self.key[tile]
+        if scores.shape[1] > self.k:
+            least = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            row, column = np.nonzero(scores >= least)  # k of a query, and all that tie with the last
+        else:
+            row, column = np.divmod(np.arange(scores.size), max(1, scores.shape[1]))
+        old = np.divmod(np.arange(held.size), max(1, held.shape[1]))[0]
+        rows = np.r_[old, row]
+        values = np.r_[held.ravel(), scores[row, column]]
+        found = np.r_[names.ravel(), keys[column]]
+        order = np.lexsort((np.unique(found, return_inverse=True)[1], -values, rows))
+        rows, values, found = rows[order], values[order], found[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = place < self.k
+        width = min(self.k, held.shape[1] + scores.shape[1])
+        return values[keep].reshape(-1, width), found[keep].reshape(-1, width)
+
+
 def exact_knn(queries: DataFrame, records: DataFrame, k: int, key: str = "vec_id", query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, key, score, rank) over all records.
 
-    Queries go to the tasks in blocks of a fixed number; a task multiplies its batches
-    with a block and sends on the k best of each query only, so what is shuffled is
-    k rows per query and batch.
+    Queries go to the tasks in blocks of a fixed number. A task multiplies its batches
+    with tiles of a block (``TILE_BYTES`` of scores at a time; products of whole
+    numbers below 2**53 are exact) and keeps the k best of each query, so what is
+    shuffled is k rows per query and task.
     """
     total = queries.count()
     parts = max(1, -(-total // query_block))
     dealt = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
     out = None
     for n in range(parts):
-        block = dealt.filter(F.col("part") == n).select("query_id", "q").toPandas() if parts > 1 else queries.select("query_id", "q").toPandas()
+        block = (dealt.filter(F.col("part") == n) if parts > 1 else queries).select("query_id", "q").toPandas()
         if block.empty:
             continue
-        ship = queries.sparkSession.sparkContext.broadcast((block["query_id"].to_numpy(), np.stack(block["q"].to_numpy()).astype(np.int64)))
+        ship = queries.sparkSession.sparkContext.broadcast((block["query_id"].to_numpy(), np.stack(block["q"].to_numpy()).astype(np.float64)))
 
         def best(frames, ship=ship):
             ids, q = ship.value
+            step = max(1, TILE_BYTES // (8 * BATCH))
+            tiles = [slice(at, at + step) for at in range(0, len(ids), step)]
+            kept = Best(len(ids), k)
             for frame in frames:
-                for at in range(0, len(frame), 4096):
-                    keys, x = frame[key].to_numpy()[at : at + 4096], np.stack(frame["v"].to_numpy()[at : at + 4096]).astype(np.int64)
-                    order = np.argsort(keys, kind="stable")
-                    scores = q @ x[order].T
-                    take = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(ids, take.shape[1]), key: keys[order][take].ravel(), "score": np.take_along_axis(scores, take, 1).ravel()})
+                for at in range(0, len(frame), BATCH):
+                    keys, x = frame[key].to_numpy()[at : at + BATCH], np.stack(frame["v"].to_numpy()[at : at + BATCH]).astype(np.float64)
+                    found = [kept.add(tile, (q[tile] @ x.T).astype(np.int64), keys) for tile in tiles]
+                    kept.score, kept.key = np.concatenate([s for s, _ in found]), np.concatenate([n for _, n in found])
+            width = kept.score.shape[1]
+            for at in range(0, len(ids) if width else 0, 65_536):
+                part = slice(at, at + 65_536)
+                yield pd.DataFrame({"query_id": np.repeat(ids[part], width), key: kept.key[part].ravel(), "score": kept.score[part].ravel()})
 
         found = records.select(key, "v").mapInPandas(best, f"query_id long, {key} {records.schema[key].dataType.simpleString()}, score long")
         out = found if out is None else out.unionByName(found)
@@ -57,38 +93,92 @@ def exact_knn(queries: DataFrame, records: DataFrame, k: int, key: str = "vec_id
     return top_k(out, k, key)
 
 
-def probe_margins(queries: DataFrame, planes: np.ndarray) -> DataFrame:
-    """(query_id, plane, bit, margin): side and distance of a query for every plane."""
+def count_ahead(queries: DataFrame, records: DataFrame, key: str = "vec_id", query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, ahead): records that come before a given one, from queries (query_id, q, score, key).
+
+    A record is ahead if it scores higher, or the same with a smaller key; the query's
+    own record does not count. A task sends on one number for every query.
+    """
+    total = queries.count()
+    parts = max(1, -(-total // query_block))
+    dealt = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    out = None
+    for n in range(parts):
+        block = dealt.filter(F.col("part") == n).select("query_id", "q", "score", F.col(key).alias("best")).toPandas()
+        if block.empty:
+            continue
+        ship = queries.sparkSession.sparkContext.broadcast((block["query_id"].to_numpy(), np.stack(block["q"].to_numpy()).astype(np.float64), block["score"].to_numpy(), block["best"].to_numpy()))
+
+        def count(frames, ship=ship):
+            ids, q, score, mine = ship.value
+            ahead, step = np.zeros(len(ids), np.int64), max(1, TILE_BYTES // (8 * BATCH))
+            for frame in frames:
+                for at in range(0, len(frame), BATCH):
+                    keys, x = frame[key].to_numpy()[at : at + BATCH], np.stack(frame["v"].to_numpy()[at : at + BATCH]).astype(np.float64)
+                    for t in range(0, len(ids), step):
+                        tile = slice(t, t + step)
+                        found, limit = q[tile] @ x.T, score[tile, None]
+                        before = (found > limit) | (found == limit) & (keys[None, :] < mine[tile, None])
+                        ahead[tile] += (before & (keys[None, :] != ids[tile, None])).sum(1)
+            yield pd.DataFrame({"query_id": ids, "ahead": ahead})
+
+        found = records.select(key, "v").mapInPandas(count, "query_id long, ahead long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return queries.select("query_id", F.lit(0).cast("long").alias("ahead"))
+    return out.groupBy("query_id").agg(F.sum("ahead").alias("ahead"))
+
+
+def probe_margins(queries: DataFrame, planes: np.ndarray, centre: np.ndarray | None = None) -> DataFrame:
+    """(query_id, plane, bit, margin): side and distance of a query for every plane through the centre."""
     norms = np.sqrt((planes.astype(np.float64) ** 2).sum(1)).tolist()
     lengths = F.array(*[F.lit(x) for x in norms])
-    sides = queries.select("query_id", F.posexplode(V.projections(planes)("q")).alias("plane", "product"))
+    sides = queries.select("query_id", F.posexplode(V.projections(planes, centre)("q")).alias("plane", "product"))
     return sides.select("query_id", "plane", (F.col("product") >= 0).cast("int").alias("bit"), (F.abs("product") / F.element_at(lengths, F.col("plane") + 1)).alias("margin"))
 
 
-def probe_plan(queries: DataFrame, planes: np.ndarray, directory: DataFrame, config: Config, probes: int) -> DataFrame:
+def inner(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def sized(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A frame as a broadcast side if it has few rows, else as it is."""
+    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+
+
+def probe_plan(queries: DataFrame, planes: np.ndarray, directory: DataFrame, config: Config, probes: int, centre: np.ndarray | None = None) -> DataFrame:
     """(query_id, segment_id, probe_no): segments to visit, in order.
 
     Class 0 is the query's own segment, always kept; then segments one and two bits
     away by margin rank; then the rest by the bound of their first extent. All but
-    the first must hold records. One window over the segments of a query.
+    the first must hold records. The neighbours, 1 + b + b (b - 1) / 2 of b bits, are
+    generated; only queries that find too few records' segments among them look at
+    the rest of the directory.
     """
     bits = config.segment_bits
-    margins = probe_margins(queries, planes).filter(F.col("plane") < bits)
+    margins = probe_margins(queries, planes, centre).filter(F.col("plane") < bits)
     ranked = margins.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("margin", "plane")))
     base = ranked.groupBy("query_id").agg(
         F.sum(F.col("bit") * F.pow(F.lit(2.0), F.col("plane").cast("double")).cast("long")).alias("base"),
-        F.transform(F.array_sort(F.collect_list(F.struct("plane", "r"))), lambda t: t["r"]).alias("ranks"),
+        F.transform(F.array_sort(F.collect_list(F.struct("r", "plane"))), lambda t: F.pow(F.lit(2.0), t["plane"].cast("double")).cast("long")).alias("flips"),
     )
     first = directory.filter("extent_no = 0").select("segment_id", "centroid", "max_radius")
-    segments = queries.sparkSession.range(config.segments).select(F.col("id").cast("int").alias("segment_id")).join(first, "segment_id", "left")
-    grid = base.join(queries, "query_id").crossJoin(F.broadcast(segments)).withColumn("x", F.col("segment_id").cast("long").bitwiseXOR(F.col("base")))
-    grid = grid.withColumn("c", F.bit_count("x")).filter("c = 0 OR centroid IS NOT NULL")
-    flipped = F.filter(F.transform("ranks", lambda r, i: F.when(F.shiftright(F.col("x"), 0).bitwiseAND(F.pow(F.lit(2.0), i.cast("double")).cast("long")) != 0, r)), lambda r: r.isNotNull())
-    bound = F.aggregate(F.zip_with("q", "centroid", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) + V.norm("q") * F.col("max_radius")
-    grid = grid.withColumn("cls", F.least("c", F.lit(3))).withColumn("k1", F.when(F.col("cls").isin(1, 2), F.array_min(flipped)).otherwise(0)).withColumn("k2", F.when(F.col("cls") == 2, F.array_max(flipped)).otherwise(0))
-    grid = grid.withColumn("k3", F.when(F.col("cls") == 3, -F.round(bound, 6)).otherwise(0.0))
+    held = sized(first.select("segment_id", F.lit(True).alias("held")))
+    one = [(a, a, 1) for a in range(1, bits + 1)]
+    two = [(a, b, 2) for a in range(1, bits + 1) for b in range(a + 1, bits + 1)]
+    steps = F.array(*[F.struct(F.lit(a).alias("k1"), F.lit(b).alias("k2"), F.lit(c).alias("cls")) for a, b, c in [(0, 0, 0), *one, *two]])
+    near = base.select("query_id", "base", "flips", F.explode(steps).alias("s"))
+    flip = F.when(F.col("s.cls") == 0, 0).when(F.col("s.cls") == 1, F.expr("flips[s.k1 - 1]")).otherwise(F.expr("flips[s.k1 - 1] + flips[s.k2 - 1]"))
+    near = near.select("query_id", F.col("base").bitwiseXOR(flip.cast("long")).cast("int").alias("segment_id"), "s.cls", "s.k1", F.when(F.col("s.cls") == 2, F.col("s.k2")).otherwise(0).alias("k2"), F.lit(0.0).alias("k3"))
+    near = near.join(held, "segment_id", "left").filter("cls = 0 OR held").select("query_id", "segment_id", "cls", "k1", "k2", "k3")
+    if probes > 1:
+        short = near.groupBy("query_id").count().filter(F.col("count") < probes).select("query_id")
+        asked = base.join(short, "query_id").join(queries, "query_id").select("query_id", "base", "q")
+        bound = inner("q", "centroid") + V.norm("q") * F.col("max_radius")
+        rest = asked.join(sized(first), F.bit_count(F.col("segment_id").cast("long").bitwiseXOR(F.col("base"))) > 2)
+        near = near.unionByName(rest.select("query_id", "segment_id", F.lit(3).alias("cls"), F.lit(0).alias("k1"), F.lit(0).alias("k2"), (-F.round(bound, 6)).alias("k3")))
     order = Window.partitionBy("query_id").orderBy("cls", "k1", "k2", "k3", "segment_id")
-    return grid.withColumn("probe_no", F.row_number().over(order)).filter(F.col("probe_no") <= probes).select("query_id", "segment_id", "probe_no")
+    return near.withColumn("probe_no", F.row_number().over(order)).filter(F.col("probe_no") <= probes).select("query_id", "segment_id", "probe_no")
 
 
 def scored(queries: DataFrame, plan: DataFrame, records: DataFrame) -> DataFrame:
@@ -101,10 +191,10 @@ def probe_topk(queries: DataFrame, plan: DataFrame, records: DataFrame, k: int)
     return top_k(scored(queries, plan, records).select("query_id", "vec_id", "score"), k)
 
 
-def extent_bounds(queries: DataFrame, directory: DataFrame) -> DataFrame:
-    """q . centroid + |q| radius of every query and extent: no record of it scores higher."""
-    inner = F.aggregate(F.zip_with("q", "centroid", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return queries.crossJoin(directory).select("query_id", "segment_id", "extent_no", "record_count", (inner + V.norm("q") * F.col("max_radius")).alias("bound"))
+def extent_bounds(queries: DataFrame, plan: DataFrame, directory: DataFrame) -> DataFrame:
+    """q . centroid + |q| radius of every query and planned extent: no record of it scores higher."""
+    reach = plan.join(directory, "segment_id").join(queries, "query_id")
+    return reach.select("query_id", "segment_id", "extent_no", "probe_no", "record_count", (inner("q", "centroid") + V.norm("q") * F.col("max_radius")).alias("bound"))
 
 
 def bounded_topk(queries: DataFrame, plan: DataFrame, records: DataFrame, directory: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -115,10 +205,34 @@ def bounded_topk(queries: DataFrame, plan: DataFrame, records: DataFrame, direct
     """
     own = top_k(scored(queries, plan.filter("probe_no = 1"), records).select("query_id", "vec_id", "score"), k)
     floor = own.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-    inner = F.aggregate(F.zip_with("q", "centroid", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    planned = plan.join(directory, "segment_id").join(queries, "query_id").join(floor, "query_id", "left")
-    planned = planned.withColumn("bound", inner + V.norm("q") * F.col("max_radius")).withColumn("is_scored", F.col("floor").isNull() | (F.col("probe_no") == 1) | (F.col("bound") + 1e-6 >= F.col("floor")))
+    planned = extent_bounds(queries, plan, directory).join(floor, "query_id", "left")
+    planned = planned.withColumn("is_scored", F.col("floor").isNull() | (F.col("probe_no") == 1) | (F.col("bound") + 1e-6 >= F.col("floor")))
     visited = planned.select("query_id", "segment_id", "extent_no", "probe_no", "record_count", "bound", "is_scored")
     reach = visited.filter("is_scored").select("query_id", "segment_id", "extent_no").join(queries, "query_id")
     hits = records.join(reach, ["segment_id", "extent_no"]).select("query_id", "vec_id", V.dot("q", "v").alias("score"))
     return top_k(hits, k), visited
+
+
+class Engine:
+    """One interface over the strategies: ``search(queries, k)`` gives (query_id, vec_id, score, rank), ``stats()`` the size of the index."""
+
+    def __init__(self, index, config: Config, probes: int = 4):
+        self.index, self.config, self.probes = index, config, probes
+
+    def search(self, queries: DataFrame, k: int, strategy: str = "probe") -> DataFrame:
+        if strategy not in ("exact", "probe", "bounded", "hamming"):
+            raise ValueError(f"unknown strategy {strategy}")
+        ix = self.index
+        if strategy == "exact":
+            return exact_knn(queries, ix.vectors, k)
+        if strategy == "hamming":
+            return exact_knn(queries.withColumn("q", V.signs("q")), ix.vectors.withColumn("v", V.signs("v")), k)
+        plan = probe_plan(queries, ix.planes, ix.directory, self.config, self.probes, ix.centre)
+        if strategy == "bounded":
+            return bounded_topk(queries, plan, ix.records, ix.directory, k)[0]
+        return probe_topk(queries, plan, ix.records, k)
+
+    def stats(self) -> DataFrame:
+        """Extents, records, segments with records and bytes of the vectors."""
+        d = self.index.directory
+        return d.agg(F.count(F.lit(1)).alias("extents"), F.sum("record_count").alias("records"), F.countDistinct("segment_id").alias("segments"), (F.sum("record_count") * self.index.dimension).alias("vector_bytes"))

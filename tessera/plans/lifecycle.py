@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import SMALL
 from tessera.operators import index, lifecycle
-from tessera.plans.vectors import DIR, REC, Index
+from tessera.plans.vectors import DIR, REC, Index, open_index
 from tessera.session import table
 
 # Derived tables, in the SQL that both engines speak.
@@ -37,7 +37,7 @@ def catalog_totals(spark, sf_dir):
 
 def doc_catalog(spark, sf_dir):
     """Chunks and distinct segments of every document of the vector corpus."""
-    r = Index(spark, sf_dir).routed.withColumn("doc_id", F.floor(F.col("vec_id") / 10))
+    r = open_index(spark, sf_dir).routed.withColumn("doc_id", F.floor(F.col("vec_id") / 10))
     return r.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("segment_id").alias("segments"))
 
 
@@ -60,20 +60,20 @@ def vector_catalog(ix: Index) -> DataFrame:
 
 
 def tombstone_filter(spark, sf_dir):
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     return lifecycle.live(vector_records(ix), vector_catalog(ix)).select("vec_id", "doc_id", "segment_id")
 
 
 def compact(spark, sf_dir):
     """Live records, routed anew and dealt to fresh extents."""
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     kept = lifecycle.live(vector_records(ix), vector_catalog(ix)).select("vec_id", "signature", "segment_id")
     return index.assign_extents(kept, SMALL).select("vec_id", "segment_id", "extent_no")
 
 
 def extent_append(spark, sf_dir):
     """Odd vectors appended to an index of the even ones: new extents after the last of a segment."""
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     old = index.assign_extents(ix.routed.filter("vec_id % 2 = 0"), SMALL)
     top = old.groupBy("segment_id").agg((F.max("extent_no") + 1).alias("base"))
     fresh = ix.routed.filter("vec_id % 2 = 1").join(top, "segment_id", "left").withColumn("base", F.coalesce("base", F.lit(0)))
@@ -107,7 +107,7 @@ def run_retention(spark, sf_dir):
 
 
 def index_stats(spark, sf_dir):
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     d = ix.directory
     return d.agg(F.count(F.lit(1)).alias("extents"), F.sum(F.when(F.col("extent_no") == 0, F.col("record_count"))).alias("primary_chunks"), F.sum("record_count").alias("chunks"), F.countDistinct("segment_id").alias("segments"), (F.count(F.lit(1)) * 131072).alias("bytes"))
 

@@ -13,185 +13,210 @@ from pyspark.sql import functions as F
 from tessera.config import SMALL
 from tessera.functions import vectors as V
 from tessera.operators import index, search
-from tessera.session import table
+from tessera.operators.calibrate import calibrated_planes, moments
+from tessera.session import Scratch, table
 
 K, PROBES = SMALL.top_k, SMALL.probes
 
 
+#: Built indexes by application and by place, size and time of the corpus.
+_BUILT: dict[tuple, "Index"] = {}
+
+
 class Index:
-    """The frames that the queries share, built once per call."""
+    """The index of a corpus: built and written once, then read by every query of the application.
+
+    ``planes`` defaults to the Halton planes through the centre of the corpus.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, calibrated: bool = False):
         self.corpus = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        self.vectors = index.int_vectors(self.corpus)
+        self.queries = self.vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
         self.dimension = index.dimension_of(self.corpus)
-        self.planes = V.halton_planes(self.dimension, SMALL.planes)
-        self.routed = index.routed(self.corpus, self.planes, SMALL)
-        self.records = index.assign_extents(self.routed, SMALL)
-        vectors = index.int_vectors(self.corpus)
-        self.vectors = vectors
-        self.queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-
-    @property
-    def directory(self) -> DataFrame:
-        return index.extent_directory(self.records)
+        if calibrated:
+            self.planes, self.centre = calibrated_planes(self.vectors, self.dimension, SMALL.planes)
+        else:
+            self.planes, self.centre = V.halton_planes(self.dimension, SMALL.planes), index.centre_of(self.vectors, self.dimension)
+        scratch = Scratch(spark, "index")
+        routed = index.routed(self.corpus, self.planes, SMALL, self.centre)
+        self.records = scratch.save(index.assign_extents(routed, SMALL), "records")
+        self.routed = self.records.drop("extent_no")
+        self.directory = scratch.save(index.extent_directory(self.records), "directory")
 
     def plan(self, probes: int = PROBES) -> DataFrame:
-        return search.probe_plan(self.queries, self.planes, self.directory, SMALL, probes)
+        return search.probe_plan(self.queries, self.planes, self.directory, SMALL, probes, self.centre)
+
+
+def open_index(spark: SparkSession, sf_dir: str, calibrated: bool = False) -> Index:
+    """The index of the corpus as it is now; built where there is none yet."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/embeddings.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status = files.getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, status.getLen(), status.getModificationTime(), calibrated)
+    if key not in _BUILT:
+        _BUILT[key] = Index(spark, sf_dir, calibrated)
+    return _BUILT[key]
 
 
 def quantize_int8(spark, sf_dir):
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     return ix.vectors.select("vec_id", F.posexplode("v").alias("d", "v"))
 
 
 def l2_normalize(spark, sf_dir):
-    e = Index(spark, sf_dir).corpus
+    e = open_index(spark, sf_dir).corpus
     return e.select("vec_id", F.posexplode(V.l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3))).alias("d", "x")).withColumn("x", F.round("x", 6))
 
 
 def vector_norm(spark, sf_dir):
-    return Index(spark, sf_dir).vectors.select("vec_id", F.round(V.norm("v"), 6).alias("norm"))
+    return open_index(spark, sf_dir).vectors.select("vec_id", F.round(V.norm("v"), 6).alias("norm"))
 
 
-def pairs(ix: Index) -> DataFrame:
-    return ix.queries.crossJoin(ix.vectors)
+def neighbours(frame: DataFrame, column: str, other: str) -> DataFrame:
+    """Every row beside the one whose id is next: (query_id, other, vec_id, column)."""
+    return frame.select((F.col("vec_id") + 1).alias("vec_id"), F.col("vec_id").alias("query_id"), F.col(column).alias(other)).join(frame.select("vec_id", column), "vec_id")
 
 
 def dot_product(spark, sf_dir):
-    return pairs(Index(spark, sf_dir)).select("query_id", "vec_id", V.dot("q", "v").alias("score"))
+    return neighbours(open_index(spark, sf_dir).vectors, "v", "q").select("query_id", "vec_id", V.dot("q", "v").alias("score"))
 
 
 def adc_score(spark, sf_dir):
-    return pairs(Index(spark, sf_dir)).select("query_id", "vec_id", V.adc("q", "v").alias("adc"))
+    return neighbours(open_index(spark, sf_dir).vectors, "v", "q").select("query_id", "vec_id", V.adc("q", "v").alias("adc"))
 
 
 def binary_code(spark, sf_dir):
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     code = V.binary_code("v", ix.dimension)
     return ix.vectors.select("vec_id", F.posexplode(code).alias("word", "bits"))
 
 
+def signed(ix: Index) -> DataFrame:
+    return ix.vectors.select("vec_id", V.signs("v").alias("v"))
+
+
 def hamming_knn(spark, sf_dir):
-    ix = Index(spark, sf_dir)
-    codes = ix.vectors.select("vec_id", V.binary_code("v", ix.dimension).alias("code"))
-    near = codes.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("code").alias("qcode")).crossJoin(codes)
-    near = near.select("query_id", "vec_id", V.hamming("qcode", "code").alias("distance")).withColumn("score", -F.col("distance"))
-    return search.top_k(near, K).select("query_id", "vec_id", "distance", "rank")
+    """Nearest codes: signs that agree less those that differ are the dimension less twice the distance."""
+    ix = open_index(spark, sf_dir)
+    asked = signed(ix).filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    near = search.exact_knn(asked, signed(ix), K)
+    return near.select("query_id", "vec_id", ((F.lit(ix.dimension) - F.col("score")) / 2).cast("int").alias("distance"), "rank")
 
 
 def signature(spark, sf_dir):
-    return Index(spark, sf_dir).routed.select("vec_id", "signature", "segment_id")
+    return open_index(spark, sf_dir).routed.select("vec_id", "signature", "segment_id")
 
 
 def segment_route(spark, sf_dir):
-    return Index(spark, sf_dir).routed.groupBy("segment_id").agg(F.count(F.lit(1)).alias("records"))
+    return open_index(spark, sf_dir).routed.groupBy("segment_id").agg(F.count(F.lit(1)).alias("records"))
 
 
 def signature_hamming(spark, sf_dir):
-    s = Index(spark, sf_dir).routed.select("vec_id", "signature")
-    q = s.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("signature").alias("qs"))
-    return q.crossJoin(s).select("query_id", "vec_id", F.bit_count(F.col("qs").bitwiseXOR(F.col("signature"))).cast("int").alias("distance"))
+    s = open_index(spark, sf_dir).routed.select("vec_id", "signature")
+    return neighbours(s, "signature", "qs").select("query_id", "vec_id", F.bit_count(F.col("qs").bitwiseXOR(F.col("signature"))).cast("int").alias("distance"))
 
 
 def mih_substrings(spark, sf_dir):
-    return index.substrings(Index(spark, sf_dir).routed, "vec_id")
+    return index.substrings(open_index(spark, sf_dir).routed, "vec_id")
 
 
 def mih_table(spark, sf_dir):
-    return index.substring_table(Index(spark, sf_dir).routed)
+    return index.substring_table(open_index(spark, sf_dir).routed)
 
 
 def mih_candidates(spark, sf_dir):
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     asked = index.substrings(ix.routed.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), "query_id")
     return asked.join(index.substring_table(ix.routed), ["table_no", "sub_val"]).select("query_id", "segment_id").distinct()
 
 
 def halton_planes(spark, sf_dir):
-    planes = Index(spark, sf_dir).planes
+    planes = open_index(spark, sf_dir).planes
     return spark.createDataFrame([(p, d, int(w)) for p, row in enumerate(planes) for d, w in enumerate(row)], "plane int, d int, w long")
 
 
 def probe_margins(spark, sf_dir):
-    ix = Index(spark, sf_dir)
-    return search.probe_margins(ix.queries, ix.planes).withColumn("margin", F.round("margin", 6))
+    ix = open_index(spark, sf_dir)
+    return search.probe_margins(ix.queries, ix.planes, ix.centre).withColumn("margin", F.round("margin", 6))
 
 
 def extent_assign(spark, sf_dir):
-    return Index(spark, sf_dir).records.select("vec_id", "segment_id", "extent_no")
+    return open_index(spark, sf_dir).records.select("vec_id", "segment_id", "extent_no")
 
 
 def extent_directory(spark, sf_dir):
-    d = Index(spark, sf_dir).directory
+    d = open_index(spark, sf_dir).directory
     return d.select("segment_id", "extent_no", "record_count", F.round("max_radius", 6).alias("max_radius"), F.round(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x), 6).alias("centroid_sum"))
 
 
 def segment_dir_scan(spark, sf_dir):
-    return Index(spark, sf_dir).directory.filter("extent_no = 0").select("segment_id", "record_count")
+    return open_index(spark, sf_dir).directory.filter("extent_no = 0").select("segment_id", "record_count")
 
 
 def segment_scan(spark, sf_dir):
     """All records of the segment of vector 0."""
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     home = ix.routed.filter("vec_id = 0").select("segment_id")
     return ix.records.join(F.broadcast(home), "segment_id", "left_semi").select("vec_id", "segment_id", "signature")
 
 
 def extent_integrity(spark, sf_dir):
-    d = Index(spark, sf_dir).directory
+    d = open_index(spark, sf_dir).directory
     bad = (F.col("record_count") < 1) | (F.col("record_count") > SMALL.extent_capacity) | F.isnan("max_radius") | (F.col("max_radius") < 0)
     return d.agg(F.count(F.lit(1)).alias("extents"), F.sum("record_count").alias("records"), F.sum(bad.cast("long")).alias("broken"), F.max("record_count").alias("largest"))
 
 
 def extent_bounds(spark, sf_dir):
-    ix = Index(spark, sf_dir)
-    return search.extent_bounds(ix.queries, ix.directory).select("query_id", "segment_id", "extent_no", F.round("bound", 5).alias("bound"))
+    ix = open_index(spark, sf_dir)
+    return search.extent_bounds(ix.queries, ix.plan(), ix.directory).select("query_id", "segment_id", "extent_no", F.round("bound", 5).alias("bound"))
 
 
 def extent_radii(spark, sf_dir):
-    d = Index(spark, sf_dir).directory
+    d = open_index(spark, sf_dir).directory
     return d.agg(F.count(F.lit(1)).alias("extents"), F.round(F.min("max_radius"), 6).alias("least"), F.round(F.max("max_radius"), 6).alias("greatest"), F.sum((F.col("max_radius") == 0).cast("long")).alias("zero"))
 
 
 def exact_knn(spark, sf_dir):
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     return search.exact_knn(ix.queries, ix.vectors, K).select("query_id", "vec_id", "score", "rank")
 
 
 def cosine_topk(spark, sf_dir):
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     found = search.exact_knn(ix.queries, ix.vectors, K).join(ix.queries, "query_id")
     return found.select("query_id", "vec_id", "rank", F.round(V.cosine(F.col("score"), V.norm("q")), 6).alias("cosine"))
 
 
 def probe_plan(spark, sf_dir):
-    return Index(spark, sf_dir).plan()
+    return open_index(spark, sf_dir).plan()
 
 
 def probe_scan(spark, sf_dir):
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     return ix.plan().join(ix.directory, "segment_id").select("query_id", "segment_id", "extent_no", "record_count")
 
 
 def probe_topk(spark, sf_dir, probes=PROBES):
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     return search.probe_topk(ix.queries, ix.plan(probes), ix.records, K).select("query_id", "vec_id", "score", "rank")
 
 
 def searched(spark, sf_dir):
     """Ranked hits with cosine, document, page and file of each."""
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     hits = search.probe_topk(ix.queries, ix.plan(), ix.records, K).join(ix.queries, "query_id")
     return hits.select("query_id", "rank", "vec_id", "score", F.round(V.cosine(F.col("score"), V.norm("q")), 6).alias("cosine"), F.floor(F.col("vec_id") / 10).alias("doc_id"), (F.col("vec_id") % 10).alias("page_num"), F.concat(F.lit("doc_"), F.floor(F.col("vec_id") / 10).cast("string"), F.lit(".pdf")).alias("filename"))
 
 
 def bounded_topk(spark, sf_dir):
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     return search.bounded_topk(ix.queries, ix.plan(32), ix.records, ix.directory, 2)[0].select("query_id", "vec_id", "score", "rank")
 
 
 def probe_telemetry(spark, sf_dir):
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     _, visited = search.bounded_topk(ix.queries, ix.plan(32), ix.records, ix.directory, 2)
     return visited.groupBy("query_id").agg(F.sum("record_count").alias("candidates"), F.sum(F.when(F.col("is_scored"), F.col("record_count")).otherwise(0)).alias("scored"), F.sum((~F.col("is_scored")).cast("long")).alias("bypassed_extents"))
 
@@ -202,36 +227,49 @@ def bypass_rate(spark, sf_dir):
 
 
 def adc_rank(spark, sf_dir):
-    ix = Index(spark, sf_dir)
-    ranked = pairs(ix).select("query_id", "vec_id", V.adc("q", "v").alias("score"))
-    return search.top_k(ranked, K).select("query_id", "vec_id", F.col("score").alias("adc"), "rank")
+    ix = open_index(spark, sf_dir)
+    return search.exact_knn(ix.queries, signed(ix), K).select("query_id", "vec_id", F.col("score").alias("adc"), "rank")
 
 
 def adc_recall_rank(spark, sf_dir):
     """Rank by sign score of the best other vector of each query, and whether a 15 % cut keeps it."""
-    ix = Index(spark, sf_dir)
-    both = pairs(ix).filter("query_id <> vec_id").select("query_id", "vec_id", V.dot("q", "v").alias("dot"), V.adc("q", "v").alias("adc"))
-    w = Window.partitionBy("query_id")
-    ranked = both.withColumn("dr", F.row_number().over(w.orderBy(F.desc("dot"), "vec_id"))).withColumn("ar", F.row_number().over(w.orderBy(F.desc("adc"), "vec_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return ranked.filter("dr = 1").select("query_id", "vec_id", F.col("ar").alias("adc_rank"), (F.col("ar") <= F.ceil(F.col("n") * 0.15)).alias("kept"))
+    ix = open_index(spark, sf_dir)
+    n = ix.vectors.count() - 1
+    first = Window.partitionBy("query_id").orderBy("rank")
+    best = search.exact_knn(ix.queries, ix.vectors, 2).filter("query_id <> vec_id").withColumn("first", F.row_number().over(first)).filter("first = 1").select("query_id", "vec_id")
+    best = best.join(ix.vectors, "vec_id").join(ix.queries, "query_id").select("query_id", "vec_id", "q", V.adc("q", "v").alias("score"))
+    ahead = search.count_ahead(best, signed(ix))
+    return best.select("query_id", "vec_id").join(ahead, "query_id").select("query_id", "vec_id", (F.col("ahead") + 1).cast("int").alias("adc_rank"), (F.col("ahead") + 1 <= F.ceil(F.lit(n) * 0.15)).alias("kept"))
 
 
-def recall_at_k(spark, sf_dir):
-    ix = Index(spark, sf_dir)
-    truth = search.exact_knn(ix.queries, ix.vectors, K).select("query_id", "vec_id")
-    total = truth.count()
-    plan = ix.plan(32)
+RECALL_PROBES = (1, 4, 8, 32, 64, 128, 256)
+
+
+def recall_of(ix: Index, spark: SparkSession) -> DataFrame:
+    """(probes, recall): share of the exact result that is found; the truth is written once."""
+    scratch = Scratch(spark, "recall")
+    truth = scratch.save(search.exact_knn(ix.queries, ix.vectors, K).select("query_id", "vec_id"), "truth")
+    total, plan = truth.count(), scratch.save(ix.plan(max(RECALL_PROBES)), "plan")
     out = None
-    for probes in (1, 4, 8, 32):
+    for probes in RECALL_PROBES:
         got = search.probe_topk(ix.queries, plan.filter(F.col("probe_no") <= probes), ix.records, K).select("query_id", "vec_id")
         row = got.join(truth, ["query_id", "vec_id"], "left_semi").agg(F.lit(probes).alias("probes"), F.round(F.count(F.lit(1)) / total, 6).alias("recall"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def recall_at_k(spark, sf_dir):
+    return recall_of(open_index(spark, sf_dir), spark)
+
+
+def calibrated_recall(spark, sf_dir):
+    """Recall by probes under planes calibrated to the corpus."""
+    return recall_of(open_index(spark, sf_dir, calibrated=True), spark)
+
+
 def strategy_compare(spark, sf_dir):
     """Hits that each strategy shares with the exact result."""
-    ix = Index(spark, sf_dir)
+    ix = open_index(spark, sf_dir)
     truth = search.exact_knn(ix.queries, ix.vectors, K).select("query_id", "vec_id")
     codes = hamming_knn(spark, sf_dir).select("query_id", "vec_id")
     segments = mih_candidates(spark, sf_dir)
@@ -245,20 +283,20 @@ def strategy_compare(spark, sf_dir):
 
 
 def bit_tally(spark, sf_dir):
-    s = Index(spark, sf_dir).routed
+    s = open_index(spark, sf_dir).routed
     sums = s.agg(*[F.sum(F.shiftright("signature", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(32)])
     return sums.unpivot([], sums.columns, "name", "ones").select(F.substring("name", 2, 2).cast("int").alias("bit"), "ones")
 
 
 def bit_entropy(spark, sf_dir):
-    n = F.lit(Index(spark, sf_dir).corpus.count()).cast("double")
+    n = F.lit(open_index(spark, sf_dir).corpus.count()).cast("double")
     p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("ones") / n))
     return bit_tally(spark, sf_dir).select("bit", F.round(F.col("ones") / n, 6).alias("share"), F.round(-p * F.log2(p) - (1 - p) * F.log2(1 - p), 6).alias("entropy"))
 
 
 def plane_stats(spark, sf_dir):
-    ix = Index(spark, sf_dir)
-    long = ix.vectors.select("vec_id", F.posexplode(V.projections(ix.planes)("v")).alias("plane", "s")).withColumn("x", F.col("s") / F.lit(1e8) / 127)
+    ix = open_index(spark, sf_dir)
+    long = ix.vectors.select("vec_id", F.posexplode(V.projections(ix.planes, ix.centre)("v")).alias("plane", "s")).withColumn("x", F.col("s") / F.lit(1e8) / 127)
     stats = long.groupBy("plane").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("variance"), F.avg((F.col("s") > 0).cast("double")).alias("ones"))
     run = F.sum("variance").over(Window.orderBy(F.desc("variance"), "plane").rowsBetween(Window.unboundedPreceding, 0))
     return stats.select("plane", F.round("mean", 5).alias("mean"), F.round("variance", 5).alias("variance"), F.round(100 * F.col("ones"), 4).alias("ones_pct"), F.round(run, 5).alias("cumulative"))
@@ -271,7 +309,7 @@ def segment_counts(ix: Index) -> DataFrame:
 
 def segment_balance(spark, sf_dir):
     """Used segments, least non-empty, greatest, mean, deviation, peak ratio and Gini over all segments."""
-    c = segment_counts(Index(spark, sf_dir))
+    c = segment_counts(open_index(spark, sf_dir))
     m = SMALL.segments
     ranked = c.withColumn("r", F.row_number().over(Window.orderBy("n", "segment_id")))
     gini = F.sum((2 * F.col("r") - m - 1) * F.col("n")) / (m * F.sum("n"))
@@ -279,13 +317,14 @@ def segment_balance(spark, sf_dir):
 
 
 def segment_percentiles(spark, sf_dir):
-    c = segment_counts(Index(spark, sf_dir)).agg(F.array_sort(F.collect_list("n")).alias("s"))
+    c = segment_counts(open_index(spark, sf_dir)).agg(F.array_sort(F.collect_list("n")).alias("s"))
     return c.select(*[F.element_at("s", int(SMALL.segments * p) + 1).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
 
 
 def pruning_funnel(spark, sf_dir):
-    ix = Index(spark, sf_dir)
-    total = ix.queries.crossJoin(ix.vectors.select("vec_id")).agg(F.lit("corpus").alias("stage"), F.count(F.lit(1)).alias("n"))
+    ix = open_index(spark, sf_dir)
+    counts = ix.queries.agg(F.count(F.lit(1)).alias("a")).crossJoin(ix.vectors.agg(F.count(F.lit(1)).alias("b")))
+    total = counts.select(F.lit("corpus").alias("stage"), (F.col("a") * F.col("b")).alias("n"))
     _, visited = search.bounded_topk(ix.queries, ix.plan(32), ix.records, ix.directory, 2)
     probed = visited.agg(F.lit("probed").alias("stage"), F.sum("record_count").alias("n"))
     kept = visited.filter("is_scored").agg(F.lit("scored").alias("stage"), F.sum("record_count").alias("n"))
@@ -295,24 +334,46 @@ def pruning_funnel(spark, sf_dir):
 
 def calibrate(spark, sf_dir):
     """Balance of signature bits under planes calibrated to the corpus."""
-    from tessera.operators.calibrate import calibrated_planes
+    s = open_index(spark, sf_dir, calibrated=True).routed
+    bits = s.select(F.explode(F.sequence(F.lit(0), F.lit(SMALL.planes - 1))).alias("bit"), "signature")
+    return bits.groupBy("bit").agg(F.round(F.avg(F.expr("shiftright(signature, bit) & 1")), 6).alias("share"))
+
+
+def vector_moments(spark, sf_dir):
+    """Mean and covariance of the integer vectors: what calibration starts from."""
+    ix = open_index(spark, sf_dir)
+    n, total, outer = moments(ix.vectors, ix.dimension)
+    rows = [(i, k, float(total[i]) / max(1, n), float(outer[i][k] * n - total[i] * total[k]) / max(1, n * (n - 1))) for i in range(ix.dimension) for k in range(i, ix.dimension)]
+    return spark.createDataFrame(rows, "i int, k int, mean double, covariance double").select("i", "k", F.round("mean", 6).alias("mean"), F.round("covariance", 4).alias("covariance"))
+
+
+def mean_pooling(spark, sf_dir):
+    """A vector, its opposite half and its double pooled by their mask, unit length."""
+    e = open_index(spark, sf_dir).vectors
+    scaled = lambda f: F.transform("v", lambda x: x.cast("double") * f)
+    parts = F.array(*map(scaled, (1.0, -0.5, 2.0)))
+    mask = F.array(F.lit(1), (F.col("vec_id") % 2).cast("int"), (F.col("vec_id") % 3 == 0).cast("int"))
+    pooled = e.select("vec_id", parts.alias("parts"), mask.alias("mask")).select("vec_id", F.posexplode(V.mean_pooled("parts", "mask")).alias("d", "x"))
+    return pooled.withColumn("x", F.round("x", 6))
+
 
-    ix = Index(spark, sf_dir)
-    planes, centre = calibrated_planes(ix.vectors, ix.dimension, SMALL.planes)
-    shifted = ix.vectors.select("vec_id", V.projections(planes)("v").alias("s"))
-    limits = F.array(*[F.lit(int(t)) for t in planes @ centre])
-    bits = shifted.select(F.posexplode(F.zip_with("s", limits, lambda s, t: (s >= t).cast("int"))).alias("bit", "one"))
-    return bits.groupBy("bit").agg(F.round(F.avg("one"), 6).alias("share"))
+def storage_footprint(spark, sf_dir):
+    """Bytes of an index by part: vectors, codes, record heads, extents' centroids and radii, directory entries."""
+    ix = open_index(spark, sf_dir)
+    d = ix.directory.agg(F.count(F.lit(1)).alias("extents"), F.sum("record_count").alias("records"))
+    sizes = {"vectors": F.col("records") * ix.dimension, "codes": F.col("records") * (ix.dimension // 8), "heads": F.col("records") * 24, "bounds": F.col("extents") * (4 * ix.dimension + 4), "directory": F.col("extents") * 24}
+    return d.select(F.explode(F.array(*[F.struct(F.lit(k).alias("part"), v.cast("long").alias("bytes")) for k, v in sizes.items()])).alias("s")).select("s.*")
 
 
 X = """x AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(trunc(greatest(-128.0, least(127.0, CAST(e AS DOUBLE) * 127))) AS INTEGER)) AS v FROM embeddings),
 dim AS (SELECT vec_id, unnest(v) AS v, unnest(range(0, len(v))) AS d FROM x)"""
+MID = "mid AS (SELECT d, CAST(floor(sum(v)::DOUBLE / count(*)) AS BIGINT) AS c FROM dim GROUP BY d)"
 PLANES = f"""pr AS (SELECT unnest([{", ".join(map(str, V.PRIMES))}]) AS b, unnest(range(0, 32)) AS k),
 pg AS (SELECT p, d, p * 64 + d + 1 AS n, b FROM (SELECT unnest(range(0, 32)) AS p), (SELECT unnest(range(0, 64)) AS d) JOIN pr ON k = (d + 7 * p) % 32),
 pw AS (SELECT p, d, 2 * sum((CAST(floor(n / pow(b, j)) AS BIGINT) % b) / pow(b, j + 1)) - 1 AS w FROM pg, (SELECT unnest(range(0, 12)) AS j) GROUP BY p, d),
 planes AS (SELECT p, d, CAST(round(w / sqrt(sum(w * w) OVER (PARTITION BY p)) * 100000000) AS BIGINT) AS w FROM pw)"""
-REC = f"""{X}, {PLANES},
-proj AS (SELECT vec_id, p, CAST(sum(v * w) AS BIGINT) AS s FROM dim JOIN planes USING (d) GROUP BY vec_id, p),
+REC = f"""{X}, {MID}, {PLANES},
+proj AS (SELECT vec_id, p, CAST(sum((v - c) * w) AS BIGINT) AS s FROM dim JOIN mid USING (d) JOIN planes USING (d) GROUP BY vec_id, p),
 sig AS (SELECT vec_id, CAST(sum(CASE WHEN s >= 0 THEN (1::BIGINT << p) ELSE 0 END) AS BIGINT) AS signature FROM proj GROUP BY vec_id),
 rec AS MATERIALIZED (SELECT vec_id, signature, CAST(signature & 255 AS INTEGER) AS segment_id, CAST((row_number() OVER (PARTITION BY signature & 255 ORDER BY signature, vec_id) - 1) // 4 AS INTEGER) AS extent_no FROM sig)"""
 DIR = f"""{REC},
@@ -332,6 +393,8 @@ go AS (SELECT gk.query_id, gk.segment_id, cls, CASE WHEN cls IN (1, 2) THEN r1 E
        FROM gk LEFT JOIN bnd ON bnd.query_id = gk.query_id AND bnd.segment_id = gk.segment_id AND bnd.extent_no = 0 WHERE cls = 0 OR bound IS NOT NULL),
 allplan AS MATERIALIZED (SELECT query_id, segment_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cls, k1, k2, k3, segment_id) AS INTEGER) AS probe_no FROM go),
 plan AS (SELECT * FROM allplan WHERE probe_no <= 4)"""
+NEXT = """nxt AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(sum(a.v * b.v) AS BIGINT) AS score, CAST(sum(CASE WHEN b.v >= 0 THEN a.v ELSE -a.v END) AS BIGINT) AS adc
+ FROM dim a JOIN dim b ON a.d = b.d AND b.vec_id = a.vec_id + 1 GROUP BY 1, 2)"""
 DOTS = """dots AS MATERIALIZED (SELECT a.vec_id AS query_id, b.vec_id, CAST(sum(a.v * b.v) AS BIGINT) AS score, CAST(sum(CASE WHEN b.v >= 0 THEN a.v ELSE -a.v END) AS BIGINT) AS adc
  FROM dim a JOIN dim b USING (d) WHERE a.vec_id % 20 = 0 GROUP BY 1, 2)"""
 
@@ -360,13 +423,13 @@ SQL = {
     "quantize_int8": f"WITH {X} SELECT vec_id, CAST(d AS INTEGER) AS d, v FROM dim",
     "l2_normalize": "WITH l AS (SELECT vec_id, unnest(embedding)::DOUBLE * 3 AS e, unnest(range(0, len(embedding))) AS d FROM embeddings) SELECT vec_id, CAST(d AS INTEGER) AS d, round(e / greatest(sqrt(sum(e * e) OVER (PARTITION BY vec_id)), 1e-12), 6) AS x FROM l",
     "vector_norm": f"WITH {X} SELECT vec_id, round(sqrt(CAST(sum(v * v) AS DOUBLE)), 6) AS norm FROM dim GROUP BY vec_id",
-    "dot_product": f"WITH {X}, {DOTS} SELECT query_id, vec_id, score FROM dots",
-    "adc_score": f"WITH {X}, {DOTS} SELECT query_id, vec_id, adc FROM dots",
+    "dot_product": f"WITH {X}, {NEXT} SELECT query_id, vec_id, score FROM nxt",
+    "adc_score": f"WITH {X}, {NEXT} SELECT query_id, vec_id, adc FROM nxt",
     "binary_code": f"WITH {X}, {CODE} SELECT vec_id, word, bits FROM code",
     "hamming_knn": f"WITH {X}, {CODE}, {HAM} {ranked('ham', columns='query_id, vec_id, distance, rank')}",
     "signature": f"WITH {REC} SELECT vec_id, signature, segment_id FROM rec",
     "segment_route": f"WITH {REC} SELECT segment_id, count(*) AS records FROM rec GROUP BY 1",
-    "signature_hamming": f"WITH {REC} SELECT a.vec_id AS query_id, b.vec_id, CAST(bit_count(xor(a.signature, b.signature)) AS INTEGER) AS distance FROM rec a, rec b WHERE a.vec_id % 20 = 0",
+    "signature_hamming": f"WITH {REC} SELECT a.vec_id AS query_id, b.vec_id, CAST(bit_count(xor(a.signature, b.signature)) AS INTEGER) AS distance FROM rec a JOIN rec b ON b.vec_id = a.vec_id + 1",
     "mih_substrings": f"WITH {REC}, {SUB} SELECT vec_id, table_no, sub_val FROM sub",
     "mih_table": f"WITH {REC}, {SUB} SELECT DISTINCT table_no, sub_val, segment_id FROM sub",
     "mih_candidates": f"WITH {REC}, {SUB}, {MIHC} SELECT query_id, segment_id FROM mihc",
@@ -377,7 +440,7 @@ SQL = {
     "segment_dir_scan": f"WITH {DIR} SELECT segment_id, record_count FROM ext WHERE extent_no = 0",
     "segment_scan": f"WITH {REC} SELECT vec_id, segment_id, signature FROM rec WHERE segment_id = (SELECT segment_id FROM rec WHERE vec_id = 0)",
     "extent_integrity": f"WITH {DIR} SELECT count(*) AS extents, CAST(sum(record_count) AS BIGINT) AS records, CAST(sum(CASE WHEN record_count < 1 OR record_count > 4 OR isnan(max_radius) OR max_radius < 0 THEN 1 ELSE 0 END) AS BIGINT) AS broken, max(record_count) AS largest FROM ext",
-    "extent_bounds": f"WITH {PLAN} SELECT query_id, segment_id, extent_no, round(bound, 5) AS bound FROM bnd",
+    "extent_bounds": f"WITH {PLAN} SELECT query_id, segment_id, extent_no, round(bound, 5) AS bound FROM bnd JOIN plan USING (query_id, segment_id)",
     "extent_radii": f"WITH {DIR} SELECT count(*) AS extents, round(min(max_radius), 6) AS least, round(max(max_radius), 6) AS greatest, CAST(sum(CASE WHEN max_radius = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zero FROM ext",
     "exact_knn": f"WITH {X}, {DOTS} {ranked('dots')}",
     "cosine_topk": f"WITH {X}, {DOTS}, nq AS (SELECT vec_id AS query_id, sqrt(CAST(sum(v * v) AS DOUBLE)) AS qn FROM dim GROUP BY 1), r AS ({ranked('dots')}) SELECT query_id, vec_id, rank, round(CASE WHEN qn > 1e-6 THEN greatest(-1.0, least(1.0, score / (qn * 127))) ELSE 0.0 END, 6) AS cosine FROM r JOIN nq USING (query_id)",
@@ -391,11 +454,14 @@ SQL = {
     "adc_rank": f"WITH {X}, {DOTS} {ranked('dots', columns='query_id, vec_id, adc, rank', score='adc')}",
     "adc_recall_rank": f"WITH {X}, {DOTS}, r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS dr, row_number() OVER (PARTITION BY query_id ORDER BY adc DESC, vec_id) AS ar, count(*) OVER (PARTITION BY query_id) AS n FROM dots WHERE query_id <> vec_id) SELECT query_id, vec_id, CAST(ar AS INTEGER) AS adc_rank, ar <= ceil(n * 0.15) AS kept FROM r WHERE dr = 1",
     "recall_at_k": f"WITH {PLAN}, {DOTS}, t AS ({ranked('dots')}), "
-    + ", ".join(f"g{p} AS ({ranked(probed(p))})" for p in (1, 4, 8, 32))
+    + ", ".join(f"g{p} AS ({ranked(probed(p))})" for p in RECALL_PROBES)
     + " "
-    + " UNION ALL ".join(f"SELECT {p} AS probes, round(count(*) / (SELECT count(*) FROM t), 6) AS recall FROM g{p} JOIN t USING (query_id, vec_id)" for p in (1, 4, 8, 32)),
+    + " UNION ALL ".join(f"SELECT {p} AS probes, round(count(*) / (SELECT count(*) FROM t), 6) AS recall FROM g{p} JOIN t USING (query_id, vec_id)" for p in RECALL_PROBES),
     "strategy_compare": f"WITH {PLAN}, {DOTS}, {CODE}, {HAM}, {SUB}, {MIHC}, t AS ({ranked('dots')}), h AS ({ranked('ham', columns='query_id, vec_id')}), p AS ({ranked(probed(4))}), m AS ({ranked('(SELECT dots.query_id, dots.vec_id, score FROM dots JOIN rec USING (vec_id) JOIN mihc ON mihc.query_id = dots.query_id AND mihc.segment_id = rec.segment_id)')}) "
     + " UNION ALL ".join(f"SELECT '{n}' AS strategy, count(*) AS hits FROM {c} JOIN t USING (query_id, vec_id)" for n, c in (("exact", "(SELECT query_id, vec_id FROM t)"), ("hamming", "h"), ("mih", "m"), ("probe", "p"))),
+    "vector_moments": f"WITH {X}, n AS (SELECT count(*) AS n FROM x), s AS (SELECT d, sum(v) AS s FROM dim GROUP BY d), g AS (SELECT a.d AS i, b.d AS k, sum(a.v * b.v) AS g FROM dim a JOIN dim b ON a.vec_id = b.vec_id AND a.d <= b.d GROUP BY 1, 2) SELECT CAST(i AS INTEGER) AS i, CAST(k AS INTEGER) AS k, round(si.s::DOUBLE / n, 6) AS mean, round((g * n - si.s * sk.s)::DOUBLE / (n * (n - 1)), 4) AS covariance FROM g JOIN s si ON si.d = i JOIN s sk ON sk.d = k, n",
+    "mean_pooling": f"WITH {X}, m AS (SELECT vec_id, d, v * (1.0::DOUBLE + CASE WHEN vec_id % 2 = 1 THEN -0.5 ELSE 0 END + CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 0 END) / (1 + CASE WHEN vec_id % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END) AS y FROM dim) SELECT vec_id, CAST(d AS INTEGER) AS d, round(y / greatest(sqrt(sum(y * y) OVER (PARTITION BY vec_id)), 1e-12), 6) AS x FROM m",
+    "storage_footprint": f"WITH {DIR}, t AS (SELECT count(*) AS e, sum(record_count) AS r FROM ext) SELECT unnest(['vectors', 'codes', 'heads', 'bounds', 'directory']) AS part, CAST(unnest([r * 64, r * 8, r * 24, e * 260, e * 24]) AS BIGINT) AS bytes FROM t",
     "bit_tally": f"WITH {REC} SELECT CAST(i AS INTEGER) AS bit, CAST(sum((signature >> i) & 1) AS BIGINT) AS ones FROM rec, (SELECT unnest(range(0, 32)) AS i) GROUP BY i",
     "bit_entropy": f"WITH {REC}, b AS (SELECT CAST(i AS INTEGER) AS bit, sum((signature >> i) & 1) / count(*) AS s FROM rec, (SELECT unnest(range(0, 32)) AS i) GROUP BY i), c AS (SELECT bit, s, greatest(1e-6, least(1 - 1e-6, s)) AS p FROM b) SELECT bit, round(s, 6) AS share, round(-p * log2(p) - (1 - p) * log2(1 - p), 6) AS entropy FROM c",
     "plane_stats": f"WITH {REC}, s AS (SELECT p, avg(s / 1e8 / 127) AS mean, var_pop(s / 1e8 / 127) AS variance, avg(CAST(s > 0 AS DOUBLE)) AS ones FROM proj GROUP BY p) SELECT CAST(p AS INTEGER) AS plane, round(mean, 5) AS mean, round(variance, 5) AS variance, round(100 * ones, 4) AS ones_pct, round(sum(variance) OVER (ORDER BY variance DESC, p ROWS UNBOUNDED PRECEDING), 5) AS cumulative FROM s",
@@ -403,4 +469,4 @@ SQL = {
     "segment_percentiles": f"WITH {SEG}, r AS (SELECT n, row_number() OVER (ORDER BY n) AS r FROM seg) SELECT max(n) FILTER (WHERE r = 129) AS p50, max(n) FILTER (WHERE r = 244) AS p95, max(n) FILTER (WHERE r = 254) AS p99 FROM r",
     "pruning_funnel": f"WITH {BOUNDED} SELECT 'corpus' AS stage, count(*) AS n FROM dots UNION ALL SELECT 'probed', CAST(sum(record_count) AS BIGINT) FROM vis UNION ALL SELECT 'scored', CAST(sum(record_count) AS BIGINT) FROM vis WHERE is_scored UNION ALL SELECT 'returned', count(*) FROM ({ranked(probed(32), 2)})",
 }
-QUERIES = {f.__name__: f for f in (quantize_int8, l2_normalize, vector_norm, dot_product, adc_score, binary_code, hamming_knn, signature, segment_route, signature_hamming, mih_substrings, mih_table, mih_candidates, halton_planes, probe_margins, extent_assign, extent_directory, segment_dir_scan, segment_scan, extent_integrity, extent_bounds, extent_radii, exact_knn, cosine_topk, probe_plan, probe_scan, probe_topk, bounded_topk, probe_telemetry, bypass_rate, adc_rank, adc_recall_rank, recall_at_k, strategy_compare, bit_tally, bit_entropy, plane_stats, segment_balance, segment_percentiles, pruning_funnel, calibrate)} | {"search": searched}
+QUERIES = {f.__name__: f for f in (quantize_int8, l2_normalize, vector_norm, dot_product, adc_score, binary_code, hamming_knn, signature, segment_route, signature_hamming, mih_substrings, mih_table, mih_candidates, halton_planes, probe_margins, extent_assign, extent_directory, segment_dir_scan, segment_scan, extent_integrity, extent_bounds, extent_radii, exact_knn, cosine_topk, probe_plan, probe_scan, probe_topk, bounded_topk, probe_telemetry, bypass_rate, adc_rank, adc_recall_rank, recall_at_k, strategy_compare, bit_tally, bit_entropy, plane_stats, segment_balance, segment_percentiles, pruning_funnel, calibrate, calibrated_recall, vector_moments, mean_pooling, storage_footprint)} | {"search": searched}

@@ -8,13 +8,13 @@ from tessera.config import SMALL
 from tessera.functions import papers, text
 from tessera.functions import vectors as V
 from tessera.operators import index, lifecycle, search
-from tessera.plans.vectors import Index
+from tessera.plans.vectors import open_index
 from tests.oracle import DATA
 
 
 @pytest.fixture(scope="module")
 def ix(spark):
-    return Index(spark, f"{DATA}/sf0.001")
+    return open_index(spark, f"{DATA}/sf0.001")
 
 
 def one(spark, **columns):
@@ -51,7 +51,7 @@ def test_planes_are_unit_and_apart():
 def test_bound_holds_and_probing_all_is_exact(spark, ix):
     records, directory = ix.records, ix.directory
     scores = ix.queries.crossJoin(records).select("query_id", "segment_id", "extent_no", V.dot("q", "v").alias("score"))
-    broken = scores.join(search.extent_bounds(ix.queries, directory), ["query_id", "segment_id", "extent_no"]).filter("score > bound + 1e-4")
+    broken = scores.join(search.extent_bounds(ix.queries, ix.plan(SMALL.segments), directory), ["query_id", "segment_id", "extent_no"]).filter("score > bound + 1e-4")
     assert broken.count() == 0
     exact = search.exact_knn(ix.queries, ix.vectors, 5).select("query_id", "vec_id", "score", "rank")
     every = ix.plan(SMALL.segments)
@@ -81,6 +81,67 @@ def test_sync_and_snapshots(spark):
     assert sorted(r.doc_id for r in d.values() if r.tombstoned) == [2, 3]
 
 
+def test_sync_by_path_or_base_name(spark):
+    c = spark.createDataFrame([(1, "a/x.pdf", 1, 1, False), (2, "b/x.pdf", 1, 1, False), (3, "y.pdf", 1, 1, False), (4, "z.pdf", 1, 1, False), (5, "old.pdf", 1, 1, True)], "doc_id long, filename string, file_size long, last_write_time long, is_deleted boolean")
+    disk = spark.createDataFrame([("a/x.pdf", 1, 1), ("b/x.pdf", 2, 1), ("sub/y.pdf", 1, 1), ("p/z.pdf", 1, 1), ("q/z.pdf", 1, 1), ("old.pdf", 1, 1)], "filename string, file_size long, last_write_time long")
+    got = {(r.filename, r.doc_id, r.status) for r in lifecycle.sync_diff(c, disk).collect()}
+    assert got == {("a/x.pdf", 1, "unchanged"), ("b/x.pdf", 2, "modified"), ("sub/y.pdf", 3, "unchanged"), ("z.pdf", 4, "deleted"), ("p/z.pdf", None, "new"), ("q/z.pdf", None, "new"), ("old.pdf", None, "new")}
+
+
+def test_centre_moves_routing(spark):
+    """Signature and margins are those of the vectors less the centre."""
+    rng = np.random.default_rng(3)
+    x, centre, planes = rng.integers(-90, 90, (40, 8)), rng.integers(-30, 30, 8), V.halton_planes(8)
+    frame = spark.createDataFrame([(i, [int(e) for e in v]) for i, v in enumerate(x)], "query_id long, q array<int>")
+    side = (x - centre) @ planes.T
+    got = {r.query_id: r.s for r in frame.select("query_id", V.signature(planes, centre)("q").alias("s")).collect()}
+    assert got == {i: sum(1 << p for p in range(32) if side[i][p] >= 0) for i in range(40)}
+    lengths = np.sqrt((planes.astype(float) ** 2).sum(1))
+    for r in search.probe_margins(frame, planes, centre).collect():
+        assert r.bit == (side[r.query_id][r.plane] >= 0) and r.margin == pytest.approx(abs(side[r.query_id][r.plane]) / lengths[r.plane])
+
+
+def test_calibrated_planes_balance_bits_and_search(spark, tmp_path):
+    from tessera.operators.calibrate import moments
+
+    plain, fitted = open_index(spark, f"{DATA}/sf0.01"), open_index(spark, f"{DATA}/sf0.01", calibrated=True)
+    x = np.stack([r.v for r in plain.vectors.collect()]).astype(np.int64)
+    n, total, outer = moments(plain.vectors.repartition(7), plain.dimension)
+    assert n == len(x) and (total == x.sum(0)).all() and (outer == x.T @ x).all()
+    skew = lambda ix: np.mean([abs(r.s - 0.5) for r in ix.routed.selectExpr("explode(sequence(0, 31)) AS b", "signature").selectExpr("b", "shiftright(signature, b) & 1 AS o").groupBy("b").agg(F.avg("o").alias("s")).collect()])
+    assert skew(fitted) < 0.1
+    exact = search.exact_knn(fitted.queries, fitted.vectors, 5).select("query_id", "vec_id")
+    got = search.Engine(fitted, SMALL, probes=SMALL.segments)
+    for strategy in ("exact", "probe", "bounded"):
+        assert got.search(fitted.queries, 5, strategy).select("query_id", "vec_id").exceptAll(exact).count() == 0
+    assert got.stats().first().records == len(x)
+    index.write_planes(spark, fitted.planes, fitted.centre, f"{tmp_path}/planes")
+    planes, centre = index.read_planes(spark, f"{tmp_path}/planes")
+    assert (planes == fitted.planes).all() and (centre == fitted.centre).all()
+
+
+def test_best_keeps_ties_by_key():
+    rng = np.random.default_rng(1)
+    for k in (1, 3, 7):
+        kept, rows = search.Best(6, k), []
+        for _ in range(5):
+            scores, keys = rng.integers(0, 4, (6, rng.integers(1, 9))), None
+            keys = rng.permutation(1000)[: scores.shape[1]] + 1000 * len(rows)
+            rows.append((scores, keys))
+            kept.score, kept.key = kept.add(slice(0, 6), scores, keys)
+        for q in range(6):
+            every = sorted((-s[q][i], key) for s, keys in rows for i, key in enumerate(keys))[:k]
+            assert [(-a, b) for a, b in zip(kept.score[q], kept.key[q])] == every
+
+
+def test_plans_have_no_all_pairs(spark, ix):
+    from tessera.plans import registry
+
+    for name in ("dot_product", "adc_score", "signature_hamming", "hamming_knn", "adc_rank", "adc_recall_rank", "extent_bounds"):
+        plan = registry.queries()[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan.replace("BroadcastNestedLoopJoin BuildRight, Inner, (bit_count", ""), name
+
+
 def test_generations_and_damage(spark, tmp_path):
     root = f"file://{tmp_path}/index"
     c = spark.createDataFrame([(1, False), (2, True)], "doc_id long, is_deleted boolean")
