@@ -9,6 +9,7 @@ from tessera.config import SMALL
 from tessera.operators import index, lifecycle
 from tessera.plans.vectors import DIR, REC, Index, open_index
 from tessera.session import table
+from tessera.sources import state
 
 # Derived tables, in the SQL that both engines speak.
 CATALOG = """SELECT doc_id, concat('doc_', CAST(doc_id AS STRING), '.pdf') AS filename, n_chars AS file_size, 1700000000 + doc_id * 3600 AS last_write_time,
@@ -103,7 +104,8 @@ def manifest_latest(spark, sf_dir):
 
 def run_retention(spark, sf_dir):
     """Runs of a listing: fewer than ten files are dropped, the newest five of the rest are kept."""
-    return spark.sql(RUNS + KEEP, documents=table(spark, sf_dir, "documents"))
+    runs = table(spark, sf_dir, "documents").groupBy(F.concat(F.lit("run_"), F.col("source").cast("string")).alias("run")).agg(F.count(F.lit(1)).alias("files"))
+    return state.retention(runs)
 
 
 def index_stats(spark, sf_dir):

@@ -17,21 +17,25 @@ def scan_files(spark: SparkSession, root: str, extension: str = ".pdf", content:
     return found.select(*columns, *([F.col("content")] if content else []))
 
 
-def pages_of(files: DataFrame, extract: Callable[[bytes], Iterable[str]]) -> DataFrame:
-    """(path, page_num, text) of files with content; blank pages and files that fail are left out."""
+def pages_of(files: DataFrame, extract: Callable[[bytes], Iterable[str]], with_errors: bool = False) -> DataFrame:
+    """(path, page_num, text) of files with content; blank pages are left out.
+
+    Extractors are foreign code: a file on which one fails yields no pages, but one row
+    of (path, -1, null, error) where ``with_errors`` asks for the column ``error``.
+    """
 
     def run(frames):
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"]):
                 try:
-                    texts = list(extract(content))
-                except Exception:  # a broken file yields no pages; extractors are foreign code
-                    texts = []
-                rows += [(path, n, t.strip()) for n, t in enumerate(texts) if t and t.strip()]
-            yield pd.DataFrame(rows, columns=["path", "page_num", "text"])
+                    rows += [(path, n, t.strip(), None) for n, t in enumerate(extract(content)) if t and t.strip()]
+                except Exception as e:
+                    rows = [r for r in rows if r[0] != path] + [(path, -1, None, f"{type(e).__name__}: {e}"[:500])]
+            yield pd.DataFrame(rows, columns=["path", "page_num", "text", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, page_num int, text string")
+    found = files.select("path", "content").mapInPandas(run, "path string, page_num int, text string, error string")
+    return found if with_errors else found.filter("error IS NULL").drop("error")
 
 
 def text_files(spark: SparkSession, root: str) -> DataFrame:

@@ -203,6 +203,8 @@ def test_file_sources(spark, tmp_path):
     assert found.count() == 2
     pages = files.pages_of(found, lambda b: b.decode().split("\f")).collect()
     assert sorted((p.page_num, p.text) for p in pages) == [(0, "one"), (1, "Two")]
+    told = files.pages_of(found, lambda b: b.decode().split("\f"), with_errors=True).filter("error IS NOT NULL").collect()
+    assert [(r.path.endswith("b.pdf"), r.page_num) for r in told] == [(True, -1)] and "UnicodeDecodeError" in told[0].error
     assert files.text_files(spark, str(tmp_path / "c.txt")).first().text == "x"
 
 
@@ -214,3 +216,97 @@ def test_paper_functions(spark):
 def test_empty_texts(spark):
     pages = spark.createDataFrame([(1, 0, None), (1, 1, ""), (2, 0, "short")], "d long, p int, t string")
     assert text.windows_of(text.carried_pages(pages, "d", "p", "t"), ["d", "p"]).count() == 0
+
+
+def test_build_job(spark, tmp_path):
+    """Files to generations: first build, nothing to do, append, modify, delete, compact and rebuild."""
+    from tessera.functions import text as T
+    from tessera.operators.build import build
+    from tessera.sources import files
+
+    root, folder = f"file://{tmp_path}/index", tmp_path / "in"
+    (folder / "sub").mkdir(parents=True)
+    page = lambda seed, n=300: " ".join(f"{seed}word{k * 37 % 101}" for k in range(n))
+    for name, seed in (("a.pdf", "a"), ("b.pdf", "b"), ("sub/a.pdf", "c"), ("blank.pdf", "")):
+        (folder / name).write_text(f"{page(seed)}\f{page(seed + 'x', 40)}" if seed else " ")
+    planes, centre = V.halton_planes(16), np.zeros(16, np.int64)
+
+    def listing():
+        found = files.scan_files(spark, str(folder))
+        return found.select(F.regexp_replace("path", f"^file:/*{str(folder).lstrip('/')}/", "").alias("filename"), F.col("size").alias("file_size"), F.unix_seconds("mtime").alias("last_write_time"))
+
+    def read_pages(rows):
+        found = files.scan_files(spark, str(folder), content=True)
+        named = found.withColumn("filename", F.regexp_replace("path", f"^file:/*{str(folder).lstrip('/')}/", "")).join(rows.select("filename"), "filename", "left_semi")
+        pages = files.pages_of(named.drop("path").withColumnRenamed("filename", "path"), lambda b: b.decode().split("\f"))
+        return pages.withColumnRenamed("path", "filename")
+
+    embed = lambda c: T.hash_embedding(16)(F.regexp_extract_all(F.lower(c), F.lit(T.WORD), F.lit(0)))
+    run = lambda **options: build(spark, root, listing(), read_pages, embed, planes, centre, 1700000000000000000, SMALL, **options)
+    open_ = lambda name: lifecycle.open_table(spark, root, name)
+    catalog = lambda: {(r.filename, r.is_deleted) for r in open_("catalog").collect()}
+
+    def sound():
+        r, d = open_("records"), open_("directory")
+        assert r.count() == d.agg(F.sum("record_count")).first()[0] == open_("texts").count() == r.select("chunk_id").distinct().count()
+        assert d.agg(F.max("record_count")).first()[0] <= SMALL.extent_capacity
+        live = {c.doc_id: c.chunk_count for c in open_("catalog").filter("NOT is_deleted").collect()}
+        assert {c.doc_id: c["count"] for c in r.groupBy("doc_id").count().collect()} == live
+
+    assert run() == 1
+    assert catalog() == {("a.pdf", False), ("b.pdf", False), ("sub/a.pdf", False)}
+    sound()
+    (folder / "blank.pdf").unlink()
+    assert run() == 1
+    (folder / "new.pdf").write_text(page("n"))
+    assert run() == 2 and ("new.pdf", False) in catalog()
+    sound()
+    (folder / "b.pdf").write_text(page("b", 200))
+    (folder / "a.pdf").unlink()
+    assert run() == 3 and catalog() == {("a.pdf", True), ("b.pdf", True), ("b.pdf", False), ("sub/a.pdf", False), ("new.pdf", False)}
+    sound()
+    before = open_("records").count()
+    assert run(compact=True) == 4 and open_("records").count() == before
+    sound()
+    assert run(rebuild=True) == 5 and catalog() == {("b.pdf", False), ("sub/a.pdf", False), ("new.pdf", False)}
+    sound()
+    first = open_("catalog").filter("filename = 'new.pdf'").first().doc_id
+    (folder / "new.pdf").unlink()
+    assert run(delete=[first]) == 6 and ("new.pdf", True) in catalog()
+    sound()
+    again = open_("records")
+    fresh = index.assign_extents(again.drop("extent_no"), SMALL, "chunk_id")
+    assert again.select("chunk_id", "extent_no").exceptAll(fresh.select("chunk_id", "extent_no")).count() == 0
+
+
+def test_numbers_are_consecutive(spark):
+    from tessera.operators.build import numbered
+    from tessera.session import Scratch
+
+    got = numbered(spark.range(100, numPartitions=7).filter("id % 3 = 0"), Scratch(spark, "test-numbers"), 5)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(5, 39))
+
+
+def test_state_and_telemetry(spark, tmp_path):
+    from tessera.sources import state
+
+    place, kind = f"{tmp_path}/papers", "id long, names array<string>"
+    assert state.read_json(spark, place, kind).count() == 0
+    state.replace_json(spark.createDataFrame([(1, ["a", "b"]), (2, None)], kind), place)
+    state.replace_json(state.read_json(spark, place, kind).filter("id = 1"), place)
+    assert [(r.id, r.names) for r in state.read_json(spark, place, kind).collect()] == [(1, ["a", "b"])]
+    assert [p.name for p in tmp_path.iterdir()] == ["papers"]
+    (tmp_path / "done.txt").write_text("one\n two \n\none\n")
+    assert sorted(r.query for r in state.processed(spark, f"{tmp_path}/done.txt").collect()) == ["one", "two"]
+    assert state.processed(spark, f"{tmp_path}/none.txt").count() == 0
+    for n in range(4):
+        state.write_run({"tally": spark.range(3).coalesce(1), "radii": spark.range(2).coalesce(1)}, f"{tmp_path}/runs", f"run_{n}")
+    (tmp_path / "runs" / "run_0" / "run_meta").rename(tmp_path / "gone")
+    (tmp_path / "runs" / "other").mkdir()
+    least = state.run_files(spark, f"{tmp_path}/runs").filter("run = 'run_1'").first().files
+    assert state.drop_runs(spark, f"{tmp_path}/runs", least, 2) == ["run_0", "run_1"]
+    assert sorted(p.name for p in (tmp_path / "runs").iterdir()) == ["other", "run_2", "run_3"]
+    assert spark.read.json(f"{tmp_path}/runs/run_3/tally").count() == 3
+    lines = spark.createDataFrame([("# x=1",), ("KEY = 'abcdefghijklmnopqrst'",), ("short=abc",), ("none",), ("short=a=b",)], "value string").coalesce(1)
+    got = {r.name: (r.value, r.masked) for r in state.settings(lines).withColumn("masked", state.mask_secret(F.col("value"))).collect()}
+    assert got == {"KEY": ("abcdefghijklmnopqrst", "abcdef...qrst"), "short": ("a=b", "***")}
