@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.rows import map_rows
-from tessera.llm.textnorm import alnum_words
+from tessera.llm.textnorm import ALNUM_WORD, alnum_words
 from tessera.session import table
 
 # The phrases whose places count, with their labels.
@@ -180,7 +180,7 @@ class Automata:
     def find(self, words: list[bytes], joined: bytes) -> list[tuple[str, int, int, int]]:
         """(label, first word, last word, mandatory and optional words matched) of every accepted range.
 
-        Of the ranges of one automaton that end at the same word the longest is reported.
+        Of the ranges of one automaton that start at the same word the longest is reported.
         """
         found = []
         for a in self.automata:
@@ -190,14 +190,18 @@ class Automata:
 
 
 def run(a: Automaton, words: list[bytes]) -> list[tuple[int, int, int]]:
-    """(first, last, literal words) of the ranges that the automaton accepts; longest per start."""
+    """(first, last, literal words) of the ranges that the automaton accepts; the longest of a start.
+
+    Where two starts lead to one state the earlier one goes on; a replaceable region at
+    the start of a template takes words like any other.
+    """
     best: dict[int, tuple[int, int, int]] = {}
     entry = a.closure([0])
     live: dict[int, tuple[int, int]] = {}
     for at, w in enumerate(words):
         nxt: dict[int, tuple[int, int]] = {}
         for s, (first, literal) in [*live.items(), *((s, (at, 0)) for s in entry if s not in live)]:
-            for moved, gain in ((a.words[s].get(w, ()), 1), (a.wild[s] if first < at else (), 0)):
+            for moved, gain in ((a.words[s].get(w, ()), 1), (a.wild[s], 0)):
                 for t in a.closure(list(moved)) if moved else ():
                     key = (first, -literal - gain)
                     if t not in nxt or key < (nxt[t][0], -nxt[t][1]):
@@ -251,5 +255,19 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_license_scan": op3_license_scan}
-SQL: dict[str, str] = {}
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op3_license_scan``, which SQL can express."""
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+_PHRASES = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in BASE_PHRASES.items())
+SQL = {
+    "license_base_places": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ALNUM_WORD}') AS w FROM documents),
+p(phrase, label, size) AS (VALUES {_PHRASES}),
+f AS (SELECT doc_id, i - 1 AS pos, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN p ON w[i] = split_part(phrase, ' ', 1) AND array_to_string(w[i:i + size - 1], ' ') = phrase),
+g AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word, coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN g USING (doc_id)"""
+}
+QUERIES = {"op3_license_scan": op3_license_scan, "license_base_places": license_base_places}

@@ -269,6 +269,50 @@ def test_template_regions():
     assert not accepts("use of is granted to all") and not accepts("use of a b c d is granted to all") and not accepts("use of it is freely granted to all")
 
 
+def template_pattern(template):
+    """A template as a regular expression over `` word word word ``."""
+    out = []
+    for part in re.findall(r"\[\[|\]\]|\{\{\d+,\d+\}\}|[^\[\]{}\s]+", template):
+        if part in ("[[", "]]"):
+            out.append("(?:" if part == "[[" else ")?")
+        elif part[0] == "{":
+            out.append(r"(?:[^ ]+ ){%s}" % part[2:-2])
+        else:
+            out.append(re.escape(part) + " ")
+    return " " + "".join(out)
+
+
+def test_license_labels_by_brute_force(spark):
+    """Template labels of generated notices and of the documents, against plain regular expressions."""
+    rng = np.random.default_rng(12)
+    patterns = [(label, re.compile(template_pattern(t))) for label, t in licenses.TEMPLATES]
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()]
+    for label, t in licenses.TEMPLATES:
+        for _ in range(12):
+            words = []
+            for part in re.findall(r"\{\{\d+,\d+\}\}|[^\[\]{}\s]+", t if rng.random() < 0.5 else re.sub(r"\[\[[^\[\]]*\]\]", "", t)):
+                if part[0] == "{":
+                    low, high = map(int, part[2:-2].split(","))
+                    words += [f"any{k}" for k in range(rng.integers(low, high + 2))]
+                elif rng.random() < 0.995:
+                    words.append(part)
+            texts.append("see " + ", ".join(words) + " end")
+    found = {r.doc_id: {m.label for m in r.matches} for r in licenses.scan_licenses(docs(spark, *texts)).collect()}
+    want = {i: {label for label, p in patterns if p.search(" " + "".join(w.decode() + " " for w in alnum_words(t)))} for i, t in enumerate(texts)}
+    assert found == want and sum(map(bool, want.values())) > 100
+
+
+def test_region_at_the_start_of_a_template():
+    a = licenses.compile_template("x", "{{1,2}} grants you a right")
+    assert [(f, z) for f, z, _ in licenses.run(a, alnum_words("He grants you a right"))] == [(0, 4)]
+    assert licenses.run(a, alnum_words("grants you a right")) == []
+
+
+@pytest.mark.parametrize("module, name", [(licenses, "license_base_places"), (quality_rules, "quality_base_counts")])
+def test_base_columns_equal_sql(spark, module, name):
+    assert_same(spark, module.QUERIES[name], module.SQL[name], "sf0.01")
+
+
 def test_license_places_by_brute_force(spark):
     d = f"{DATA}/sf0.01"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
@@ -539,6 +583,27 @@ def test_bands(spark):
     assert kept.columns == frame.columns and [r.doc_id for r in kept.collect()] == [0]
 
 
+def test_verdicts_by_brute_force(spark):
+    """Ratios, chunks and verdicts of every document, computed anew from the limits as they are stated."""
+    import zstandard
+
+    d = f"{DATA}/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    ratio = lambda raw: len(raw) / len(zstandard.compress(raw, 3))
+    kept = 0
+    for r in quality_rules.op8_quality_rules(spark, d).collect():
+        raw = texts[r.doc_id].encode()
+        low, high = [(lo, hi) for below, lo, hi in quality_rules.BANDS if len(raw) < below][0]
+        starts = sorted({min(k, len(raw) - 2048) for k in range(0, len(raw), 2048)}) if len(raw) >= 2048 else []
+        bad = sum(not 1.30 <= ratio(raw[k : k + 2048]) <= 2.45 for k in starts)
+        words, _, _, _, repeated = naive_counts(texts[r.doc_id])
+        failed = words < 50 or 100 * repeated > 50 * words
+        assert (r.doc_bytes, r.n_chunks, r.bad_chunks, r.base_failed) == (len(raw), len(starts), bad, failed)
+        assert r.ratio == pytest.approx(ratio(raw)) and r.kept == (not failed and low <= ratio(raw) <= high and not bad)
+        kept += r.kept
+    assert 0 < kept < len(texts)
+
+
 @pytest.mark.parametrize("at", [0, 40_001, 100_000])
 def test_long_documents_hide_no_junk(at):
     import base64
