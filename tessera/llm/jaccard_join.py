@@ -12,7 +12,8 @@ filter), so only those are shuffled.
 2. Postings: a task turns its documents into (gram, set, size, position) rows,
    once per distinct set, packed by bucket of the gram. Buckets follow from the
    summed counts, so a task holds a bounded number of rows; the posting list of a
-   gram that alone exceeds that is dealt to several buckets.
+   gram that alone exceeds that is dealt to several buckets. What a counter has
+   from grams that merely share it, its level over all counters, is left out of that.
 3. Candidates: the sets of a posting list of up to ``LIST`` are paired, through
    the length and positional filters. A longer list, of which only large groups of
    near copies are made once the order is rare-first, makes a star instead.
@@ -194,12 +195,24 @@ def ship_counts(docs: DataFrame, counts: np.ndarray):
     return docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64))
 
 
+def deals(often: np.ndarray, level: int, bucket_rows: int) -> np.ndarray:
+    """Buckets to which the posting list of a gram with these counts is dealt: 1 unless the gram alone exceeds a bucket.
+
+    Grams that share a counter lift all counters alike, to ``level`` (the median),
+    which grows with the corpus. Only what a counter has above that can be one gram,
+    so that rare grams keep to one bucket at any corpus size.
+    """
+    above = np.maximum(0, often.astype(np.int64) - level)
+    return np.maximum(1, -(-above // bucket_rows)).astype(np.uint64)
+
+
 def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, ship, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
     """(rows of ROWS: every document, and packed postings by bucket; number of buckets)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     total = int(counts.sum())
     buckets = max(16, -(-total // (4 * bucket_rows)))
+    level = int(np.median(counts))
     schema, mask = schema_of(ROWS.format(docs.schema[key].dataType.simpleString())), np.uint64(len(counts) - 1)
 
     def run(batches):
@@ -209,8 +222,7 @@ def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, ship
         def flush():
             nonlocal held, size
             every = np.concatenate(held)
-            often = order[(every["gram"] & mask).astype(np.int64)].astype(np.int64)
-            salts = np.maximum(1, -(-often // bucket_rows)).astype(np.uint64)
+            salts = deals(order[(every["gram"] & mask).astype(np.int64)], level, bucket_rows)
             bucket = (every["gram"] % np.uint64(buckets)).astype(np.int64) + (every["node"] % salts).astype(np.int64)
             bucket %= buckets
             by = np.lexsort((every["gram"], bucket))
@@ -236,7 +248,7 @@ def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, ship
                 first = rare_first(found, order)
                 mine = np.zeros(len(first), POSTING)
                 mine["gram"], mine["node"], mine["n"], mine["at"] = first & KEY, node, n, np.arange(len(first))
-                mine["salted"] = order[(first & mask).astype(np.int64)] > bucket_rows
+                mine["salted"] = deals(order[(first & mask).astype(np.int64)], level, bucket_rows) > 1
                 held.append(mine)
                 size += len(mine)
             yield from batches_of(rows, arrow)

@@ -707,7 +707,7 @@ def near_copies(n, seed=1, words=60, edits=2):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"longest": 3, "block": 4}, {"longest": 3, "block": 64}, {"longest": 3, "block": 4, "bucket_rows": 16, "sketch": 1 << 8}, {"bucket_rows": 64, "sketch": 1 << 6}])
+@pytest.mark.parametrize("options", [{}, {"longest": 3, "block": 4}, {"longest": 3, "block": 64}, {"longest": 3, "block": 4, "bucket_rows": 16, "sketch": 1 << 8}, {"bucket_rows": 64, "sketch": 1 << 6}, {"longest": 3, "block": 4, "bucket_rows": 8, "sketch": 1 << 4}])
 def test_groups_by_brute_force(spark, options):
     shared = " ".join(f"common{i}" for i in range(40))
     texts = near_copies(30) + near_copies(12, 2, 30, 3) + ["A b C", "a B c", "a b", None, "", "a b c d e", "A B C D E F"]
@@ -718,6 +718,26 @@ def test_groups_by_brute_force(spark, options):
     assert len({c for _, c in want.values()}) < len(texts)
 
 
+def test_only_crowded_grams_are_dealt_at_any_corpus_size(spark):
+    """Counters as a corpus of 10**13 grams would fill them: rare grams keep one bucket, a crowded one is dealt."""
+    frame, rows = docs(spark, "a b c d e", *near_copies(40)), 1 << 20
+    sketch = 1 << 12
+    for level in (0, 10_000_000):
+        counts = jaccard_join.count_sketch(frame, "text", sketch) + np.random.default_rng(0).poisson(level, sketch)
+        hot = int(jaccard_join.Grams()("a b c d e")[0]) & (sketch - 1)
+        counts[hot] += 3 * rows
+        postings, _ = jaccard_join.make_postings(frame, "doc_id", "text", counts, jaccard_join.ship_counts(frame, counts), bucket_rows=rows)
+        where = {}
+        for r in postings.filter("blob IS NOT NULL").collect():
+            for gram, salted in jaccard_join.unpack(bytes(r.blob))[["gram", "salted"]].tolist():
+                where.setdefault((gram, salted), set()).add(r.bucket)
+        crowded = {g for g, salted in where if salted}
+        assert crowded and all(g & (sketch - 1) == hot for g in crowded) and not crowded & {g for g, salted in where if not salted}
+        assert all(len(b) == 1 for (_, salted), b in where.items() if not salted)
+        assert all(len(b) <= 4 for b in where.values())
+    assert jaccard_join.deals(np.array([0, 10, 10 + rows, 11 + rows, 10 + 5 * rows]), 10, rows).tolist() == [1, 1, 1, 2, 5]
+
+
 def test_groups_equal_sql(spark):
     assert_same(spark, jaccard_join.op10_jaccard_join, jaccard_join.SQL["op10_jaccard_join"], "sf0.01")
 
