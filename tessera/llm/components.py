@@ -1,7 +1,7 @@
 """Connected components of a graph whose edges stay distributed.
 
-A graph of at most ``ONE_TASK`` distinct edges, counted first, is solved by
-union-find in a single task, whose memory that number bounds. A larger one takes
+A graph of at most ``ONE_TASK`` distinct edges, counted first, is solved
+over arrays in a single task, whose memory that number bounds. A larger one takes
 alternating large-star and small-star steps: a pre-aggregated minimum per node and
 a join of the edges with it. Minima are written before they are joined, so both
 sides of that join are plain shuffles and a node with very many neighbours is
@@ -11,39 +11,45 @@ Both ways give the same labels.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import Scratch
 
-#: Edges that one task may hold: 16 bytes each on the way, some hundred in its tables.
+#: Edges that one task may hold: 16 bytes each on the way, some hundred in its arrays.
 ONE_TASK = 1 << 20
 
 
+def smallest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, label of each): roots hook on to smaller ones, at least half of those of a component in a round."""
+    nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = flat[: len(u)], flat[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        one, two = label[a], label[b]
+        apart = one != two
+        if not apart.any():
+            return nodes, nodes[label]
+        a, b, one, two = a[apart], b[apart], one[apart], two[apart]
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while not np.array_equal(label, up := label[label]):
+            label = up
+
+
 def solve(edges: DataFrame) -> DataFrame:
-    """(node, label) by union-find in one task."""
+    """(node, label) in one task, over arrays of some 100 bytes an edge in all."""
 
     def run(batches):
         import pyarrow as pa
 
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for batch in batches:
-            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = root(u), root(v)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        pairs = [(x, root(x)) for x in list(parent)]
-        pairs = [p for p in pairs if p[0] != p[1]]
-        for at in range(0, len(pairs), 65536):
-            nodes, labels = zip(*pairs[at : at + 65536])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(labels, pa.int64())], names=["node", "label"])
+        parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if not parts:
+            return
+        nodes, labels = smallest(*(np.concatenate(side) for side in zip(*parts)))
+        nodes, labels = nodes[nodes != labels], labels[nodes != labels]
+        for at in range(0, len(nodes), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65536], pa.int64()) for x in (nodes, labels)], names=["node", "label"])
 
     return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, label long")
 

@@ -65,6 +65,8 @@ BUCKET_ROWS = 1 << 20
 #: Ids that may be broadcast; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 MEMO_WORDS = 200_000
+#: Pairs of posting lists that are looked at in one step.
+CHUNK = 1 << 18
 
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _FINAL = np.uint64(0xFF51AFD7ED558CCD)
@@ -133,40 +135,55 @@ def batches_of(rows: list[tuple], arrow, step: int = 4096) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows[at : at + step]), arrow)], schema=arrow)
 
 
-def count_sketch(docs: DataFrame, text: str, sketch: int = SKETCH, gram: int = GRAM) -> np.ndarray:
-    """Counts of hashed grams over all documents: a fixed number of counters.
+def tally(frame: DataFrame, slots: int, make) -> np.ndarray:
+    """How often each of ``slots`` comes up: ``make()`` gives a task's function from the values of the column to slots.
 
-    Tasks add up their documents; what they have is summed in 64 slices by key. The
+    Tasks add up their rows; what they have is summed in 64 slices by key. The
     counters of a task are mostly small, so they travel byte by byte, compressed:
     some 2 bits a counter.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema, parts = schema_of("slice int, counts binary"), 64
-    width = sketch // parts
+    schema, parts = schema_of("slice int, counts binary"), 64 if slots >= 64 else slots
+    width = slots // parts
 
     def count(batches):
-        grams, total = Grams(gram), np.zeros(sketch, np.int64)
+        places, total = make(), np.zeros(slots, np.uint32)
         for piece in slices(batches):
-            found = [grams(t) for t in piece.column(0).to_pylist()]
-            total += np.bincount((np.concatenate(found) & np.uint64(sketch - 1)).astype(np.int64), minlength=sketch)
-        if total.any():
-            yield from batches_of([(n, squeeze(total[n * width : (n + 1) * width])) for n in range(parts)], to_arrow_schema(schema))
+            np.add.at(total, places(piece.column(0)), np.uint32(1))
+        for n in range(parts if total.any() else 0):
+            yield from batches_of([(n, squeeze(total[n * width : (n + 1) * width]))], to_arrow_schema(schema))
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for n, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[n] = sums.get(n, 0) + stretch(counts)
-        if sums:
-            yield from batches_of([(n, squeeze(x)) for n, x in sums.items()], to_arrow_schema(schema))
-
-    out = np.zeros(sketch, np.int64)
-    for r in docs.select(text).mapInArrow(count, schema).repartition(parts, "slice").mapInArrow(add, schema).collect():
+            for n, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[n] = sums.get(n, 0) + stretch(counts.as_py())
+        for n in list(sums):
+            yield from batches_of([(n, squeeze(sums.pop(n)))], to_arrow_schema(schema))
+
+    found = frame.mapInArrow(count, schema).repartition(parts, "slice").mapInArrow(add, schema).collect()
+    large = any(stretch(r.counts).max() >= 1 << 32 for r in found)
+    out = np.zeros(slots, np.int64 if large or slots <= SKETCH else np.uint32)
+    for r in found:
         out[r.slice * width : (r.slice + 1) * width] = stretch(r.counts)
     return out
 
 
+def count_sketch(docs: DataFrame, text: str, sketch: int = SKETCH, gram: int = GRAM) -> np.ndarray:
+    """Counts of hashed grams over all documents: a fixed number of counters."""
+
+    def make():
+        grams = Grams(gram)
+
+        def places(texts):
+            return (np.concatenate([grams(t) for t in texts.to_pylist()]) & np.uint64(sketch - 1)).astype(np.int64)
+
+        return places
+
+    return tally(docs.select(text), sketch, make)
+
+
 def squeeze(counts: np.ndarray) -> bytes:
     """64-bit counts byte by byte, compressed."""
     import zstandard
@@ -222,6 +239,7 @@ def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, ship
         def flush():
             nonlocal held, size
             every = np.concatenate(held)
+            held, size = [], 0
             salts = deals(order[(every["gram"] & mask).astype(np.int64)], level, bucket_rows)
             bucket = (every["gram"] % np.uint64(buckets)).astype(np.int64) + (every["node"] % salts).astype(np.int64)
             bucket %= buckets
@@ -231,7 +249,7 @@ def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, ship
             rows = []
             for first, last in zip(starts, np.r_[starts[1:], len(bucket)]):
                 rows.append((POSTINGS, None, None, None, int(bucket[first]), pack(every[first:last])))
-            held, size = [], 0
+            del every, bucket, by
             yield from batches_of(rows, arrow, 256)
 
         for piece in slices(batches):
@@ -252,7 +270,7 @@ def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, ship
                 held.append(mine)
                 size += len(mine)
             yield from batches_of(rows, arrow)
-            if size > 2 * bucket_rows:
+            if size > bucket_rows:
                 yield from flush()
         if held:
             yield from flush()
@@ -304,7 +322,7 @@ def candidates(postings: np.ndarray, longest: int = LIST) -> tuple[np.ndarray, n
     for m in np.unique(sizes[(sizes > 1) & (sizes <= longest) & ~salted]):
         i, k = np.triu_indices(m, 1)
         same = starts[(sizes == m) & ~salted]
-        for some in np.array_split(same, max(1, len(same) * len(i) // 2_000_000)):
+        for some in np.array_split(same, max(1, len(same) * len(i) // CHUNK)):
             x, y = postings[(some[:, None] + i).ravel()], postings[(some[:, None] + k).ravel()]
             nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
             rest = 1 + np.minimum(nx - x["at"] - 1, ny - y["at"] - 1)
@@ -327,13 +345,22 @@ def find_candidates(rows: DataFrame, buckets: int, longest: int = LIST) -> DataF
     schema = schema_of(FOUND.format(rows.schema["doc_id"].dataType.simpleString()))
 
     def run(batches):
+        import pyarrow as pa
+
         arrow, held, now = to_arrow_schema(schema), [], None
 
+        def edge_batches(kind: int, edges: np.ndarray):
+            for at in range(0, len(edges), 65536):
+                ends = edges[at : at + 65536].astype(np.int64)
+                empty = [pa.nulls(len(ends), arrow.field(n).type) for n in ("doc_id", "n")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), kind, np.int32)), *empty, *(pa.array(ends[:, k]) for k in (0, 1))], schema=arrow)
+
         def flush():
             if held:
-                for kind, edges in zip((PAIR, STAR, HUB), candidates(np.concatenate(held), longest)):
-                    yield from batches_of([(kind, None, None, a, b) for a, b in edges.tolist()], arrow)
+                every = np.concatenate(held)
                 held.clear()
+                for kind, edges in zip((PAIR, STAR, HUB), candidates(every, longest)):
+                    yield from edge_batches(kind, edges)
 
         for batch in batches:
             columns = [batch.column(n).to_pylist() for n in range(6)]
@@ -379,9 +406,11 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 def fetch_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, gram: int) -> DataFrame:
     """(node, cells, grams) of the wanted (node, rep, cells): the grams of one document of the node.
 
-    Only candidate texts are hashed; nothing is shuffled while what is wanted is
-    small enough to broadcast. Documents that repeat an id are counted first, and only
-    where there are any the result is made distinct.
+    Only candidate texts are hashed, and no text is shuffled. What is wanted is joined
+    by broadcast while it is small enough. Beyond that, tables of a fixed size tell
+    tasks which ids and sets may be wanted, and the sets of those are shuffled.
+    Documents that repeat an id are counted first, and only where there are any the
+    result is made distinct.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -389,6 +418,9 @@ def fetch_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, gram: in
     side = F.broadcast(wanted) if few else wanted
     ids = docs.select(F.col(key).alias("rep"))
     repeated = ids.join(side.select("rep"), "rep", "left_semi").groupBy("rep").count().filter("count > 1").limit(1).count()
+    if not few:
+        sets = sets_of(docs, key, text, wanted, gram).join(wanted, ["node", "rep"]).select("node", "cells", "grams")
+        return sets.dropDuplicates(["node"]) if repeated else sets
     texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("body")).join(side, "rep")
     schema = schema_of(f"node long, cells {wanted.schema['cells'].dataType.simpleString()}, grams array<long>")
 
@@ -408,6 +440,46 @@ def fetch_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, gram: in
     return found.dropDuplicates(["node"]) if repeated else found
 
 
+def sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame, gram: int, most: int = 1 << 24) -> DataFrame:
+    """(node, rep, grams) of the documents that may be among the wanted (node, rep): all that are, and a few others.
+
+    Two tables of 16 slots for each that is wanted, ``most`` at most, are broadcast as
+    bits: the slots of wanted ids and those of wanted nodes.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    slots = min(most, max(64, 1 << (16 * wanted.count()).bit_length()))
+    place = lambda hashes: hashes.astype(np.uint64) * _MULTIPLIERS[0] >> np.uint64(64 - slots.bit_length() + 1)
+
+    def bits(column):
+        return np.packbits(tally(wanted.select(column), slots, lambda: lambda c: place(c.to_numpy()).astype(np.int64)) > 0)
+
+    ship = docs.sparkSession.sparkContext.broadcast((bits(F.xxhash64("rep")), bits(F.col("node"))))
+    schema = schema_of(f"node long, rep {docs.schema[key].dataType.simpleString()}, grams array<long>")
+
+    def run(batches):
+        import pyarrow as pa
+
+        grams, arrow, (reps, nodes) = Grams(gram), to_arrow_schema(schema), ship.value
+
+        def marked(table, hashes):
+            at = place(hashes).astype(np.int64)
+            return table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
+
+        for piece in slices(batches):
+            some = np.flatnonzero(marked(reps, piece.column(0).to_numpy()))
+            if not len(some):
+                continue
+            found = [grams(t) for t in piece.column(2).take(pa.array(some)).to_pylist()]
+            ids = np.array([grams.node(x) for x in found], np.int64)
+            keep = np.flatnonzero(marked(nodes, ids))
+            if len(keep):
+                sets = pa.array([found[n].astype(np.int64) for n in keep], arrow.field("grams").type)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), piece.column(1).take(pa.array(some[keep])).cast(arrow.field("rep").type), sets], schema=arrow)
+
+    return docs.filter(F.col(key).isNotNull()).select(F.xxhash64(key), key, text).mapInArrow(run, schema)
+
+
 def arrays_of(column) -> list[np.ndarray]:
     """The lists of an Arrow column as numpy views."""
     values, at = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 0

@@ -766,6 +766,41 @@ def test_ids_with_several_texts(spark, options):
     assert got == Counter([(1, 1), (2, 2), (5, 1), (5, 2), (5, 5), (5, 5), (6, 5), (6, 6), (7, 7), (7, 7), (8, 8), (8, 8), (8, 8), (None, None), (None, None)])
 
 
+@pytest.mark.parametrize("options", [{}, {"longest": 3, "block": 4}])
+def test_texts_stay_where_many_sets_are_wanted(spark, monkeypatch, options):
+    """Beyond what may be broadcast, sets travel and texts do not; repeated ids and copies included."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    texts = near_copies(30) + near_copies(12, 2, 30, 3) + ["a b", None, ""] + [near_copies(1)[0]] * 5
+    frame = docs(spark, *texts).repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(frame, **options).collect()}
+    assert got == naive_groups(dict(enumerate(texts)))
+    twice = docs(spark, near_copies(2)[1], near_copies(1)[0], "x y", ids=[1, 1, 2])
+    grams = jaccard_join.Grams()
+    node = grams.node(grams(near_copies(1)[0]))
+    cell = "array<struct<kind:int,label:long,i:long,k:long,side:int>>"
+    wanted = spark.createDataFrame([(node, 1, [(0, 1, 0, 0, 0)])], f"node long, rep long, cells {cell}")
+    sets = jaccard_join.fetch_sets(twice, "doc_id", "text", wanted, 5)
+    assert "hashpartitioning(rep" not in sets._jdf.queryExecution().executedPlan().toString()
+    (row,) = sets.collect()
+    assert row.node == node and row.grams == grams(near_copies(1)[0]).astype(np.int64).tolist()
+
+
+def test_a_bucket_of_many_pairs_takes_little_memory():
+    """Lists of 32 near copies, 2 million pairs: looked at in steps of a fixed size."""
+    import tracemalloc
+
+    lists = 4096
+    postings = np.zeros(lists * 32, jaccard_join.POSTING)
+    postings["gram"], postings["node"] = np.repeat(np.arange(lists), 32), np.arange(lists * 32)
+    postings["n"], postings["at"] = np.where(postings["node"] % 8, 1000, 900), np.where(postings["node"] % 8 < 2, 0, 300)
+    tracemalloc.start()
+    pairs, stars, hubs = jaccard_join.candidates(postings)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) == lists * 28 and not len(stars) and not len(hubs)
+    assert most < 100 << 20
+
+
 def test_filters_lose_nothing():
     rng = np.random.default_rng(0)
     for _ in range(300):
