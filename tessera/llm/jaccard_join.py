@@ -6,9 +6,10 @@ rare grams first, by a count over all documents, then by hash. Two linked sets
 then share a gram among the first ``n - ceil(3n/4) + 1`` of either (prefix
 filter), so only those are shuffled.
 
-1. Counts: a sketch of ``SKETCH`` counters of hashed grams, summed over all
-   documents. Its size is fixed; a gram in more than a tiny share of documents
-   stands out at any corpus size, and links do not depend on the order.
+1. Counts: a sketch of ``SKETCH`` to ``MOST_COUNTERS`` counters of hashed grams,
+   as the size of the input asks for, summed over all documents. What a counter has
+   from grams that merely share it so stays low, rare grams come first and few sets
+   are compared; links do not depend on the order.
 2. Postings: a task turns its documents into (gram, set, size, position) rows,
    once per distinct set, packed by bucket of the gram. Buckets follow from the
    summed counts, so a task holds a bounded number of rows; the posting list of a
@@ -56,6 +57,8 @@ GRAM = 5
 #: Least similarity as a fraction of whole numbers.
 SHARE, WHOLE = 75, 100
 SKETCH = 1 << 20
+#: Counters of a large corpus, a byte each where they are broadcast, and bytes of its files for which there is one.
+MOST_COUNTERS, COUNTER_BYTES = 1 << 24, 256
 #: Longest posting list whose sets are paired directly.
 LIST = 32
 #: Sets of a block; a cell holds two at most.
@@ -207,9 +210,25 @@ def rare_first(grams: np.ndarray, order: np.ndarray) -> np.ndarray:
     return grams[np.lexsort((grams, often))[: prefix_size(len(grams))]]
 
 
+def counters_for(size: int) -> int:
+    """Counters for so many bytes of files: a power of two; an unknown size (2^62 and more) counts as small."""
+    wanted = size // COUNTER_BYTES if size < 1 << 62 else 0
+    return min(MOST_COUNTERS, max(SKETCH, 1 << max(0, wanted - 1).bit_length()))
+
+
+def size_of(docs: DataFrame) -> int:
+    """Bytes of the files of a frame, as its plan has them."""
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def ship_counts(docs: DataFrame, counts: np.ndarray):
-    """The counts as a broadcast: ``SKETCH`` numbers, whatever the input."""
-    return docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64))
+    """The order of counts as a broadcast of bounded size: up to ``SKETCH`` numbers as they are, more of them in steps of a twelfth."""
+    if len(counts) <= SKETCH:
+        return docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64))
+    steps = np.zeros(len(counts), np.uint8)
+    for at in range(0, len(counts), SKETCH):
+        steps[at : at + SKETCH] = np.minimum(255, 8 * np.log2(1.0 + counts[at : at + SKETCH]))
+    return docs.sparkSession.sparkContext.broadcast(steps)
 
 
 def deals(often: np.ndarray, level: int, bucket_rows: int) -> np.ndarray:
@@ -231,6 +250,18 @@ def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, ship
     buckets = max(16, -(-total // (4 * bucket_rows)))
     level = int(np.median(counts))
     schema, mask = schema_of(ROWS.format(docs.schema[key].dataType.simpleString())), np.uint64(len(counts) - 1)
+    crowded = np.flatnonzero(counts > level + bucket_rows)  # one for every bucket_rows grams at most
+    times = deals(counts[crowded], level, bucket_rows)
+
+    def salts_of(grams: np.ndarray) -> np.ndarray:
+        """Buckets of each gram's list."""
+        out = np.ones(len(grams), np.uint64)
+        if len(crowded):
+            slot = (grams & mask).astype(np.int64)
+            at = np.minimum(np.searchsorted(crowded, slot), len(crowded) - 1)
+            hit = crowded[at] == slot
+            out[hit] = times[at[hit]]
+        return out
 
     def run(batches):
         grams, order, arrow = Grams(gram), ship.value, to_arrow_schema(schema)
@@ -240,7 +271,7 @@ def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, ship
             nonlocal held, size
             every = np.concatenate(held)
             held, size = [], 0
-            salts = deals(order[(every["gram"] & mask).astype(np.int64)], level, bucket_rows)
+            salts = salts_of(every["gram"])
             bucket = (every["gram"] % np.uint64(buckets)).astype(np.int64) + (every["node"] % salts).astype(np.int64)
             bucket %= buckets
             by = np.lexsort((every["gram"], bucket))
@@ -266,7 +297,7 @@ def make_postings(docs: DataFrame, key: str, text: str, counts: np.ndarray, ship
                 first = rare_first(found, order)
                 mine = np.zeros(len(first), POSTING)
                 mine["gram"], mine["node"], mine["n"], mine["at"] = first & KEY, node, n, np.arange(len(first))
-                mine["salted"] = deals(order[(first & mask).astype(np.int64)], level, bucket_rows) > 1
+                mine["salted"] = salts_of(first) > 1
                 held.append(mine)
                 size += len(mine)
             yield from batches_of(rows, arrow)
@@ -552,7 +583,9 @@ def verify(docs: DataFrame, key: str, text: str, cells: DataFrame, reps: DataFra
         found = verify_pairs(column("node").to_numpy(), column("side").to_numpy(), arrays_of(column("grams")), ship.value, diagonal)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return scratch.save(sets.groupBy(*CELL).applyInArrow(work, "a long, b long"), f"{name}-links")
+    links = scratch.save(sets.groupBy(*CELL).applyInArrow(work, "a long, b long"), f"{name}-links")
+    scratch.settle()
+    return links
 
 
 #: Cells of explicit pairs, of the blocks of a star, and of a star's largest part against the rest.
@@ -608,17 +641,18 @@ def second_cells(close: DataFrame, links: DataFrame, scratch: Scratch, block: in
     return cells.unionByName(cells_of(apart, kind=APART, label=F.col("label"), i=F.least("rest", "at"), k=F.greatest("rest", "at"), side=F.when(F.col("rest") > F.col("at"), 1).otherwise(0)))
 
 
-def grouped_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, longest: int = LIST, block: int = BLOCK, bucket_rows: int = BUCKET_ROWS, sketch: int = SKETCH, scratch: Scratch | None = None) -> DataFrame:
+def grouped_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, longest: int = LIST, block: int = BLOCK, bucket_rows: int = BUCKET_ROWS, sketch: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n, node, component, first) of every row of ``docs``.
 
     ``component`` is the smallest id of the row's group and ``first`` the node of a
     text that has it: groups are of nodes, as an id may stand for several texts.
     """
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
-    counts = count_sketch(docs, text, sketch, gram)
+    counts = count_sketch(docs, text, sketch or counters_for(size_of(docs)), gram)
     ship = ship_counts(docs, counts)
     rows, buckets = make_postings(docs, key, text, counts, ship, gram, bucket_rows)
     found = scratch.save(find_candidates(rows, buckets, longest), "found")
+    scratch.settle()
     documents = found.filter(F.col("kind") == DOCUMENT)
     classes = documents.filter("node IS NOT NULL").groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("rep IS NOT NULL")
     classes = scratch.save(classes, "classes")

@@ -785,6 +785,20 @@ def test_texts_stay_where_many_sets_are_wanted(spark, monkeypatch, options):
     assert row.node == node and row.grams == grams(near_copies(1)[0]).astype(np.int64).tolist()
 
 
+def test_counters_grow_with_the_corpus(spark, monkeypatch):
+    """Files of 6 GB get 2^24 counters, not 2^20; with many of them, as bytes in the broadcast, groups are the same."""
+    sizes = [0, 1 << 28, 500_000_000, 6_000_000_000, 10**15, (1 << 63) - 1]
+    assert [jaccard_join.counters_for(s).bit_length() - 1 for s in sizes] == [20, 20, 21, 24, 24, 20]
+    seen = []
+    real = jaccard_join.count_sketch
+    monkeypatch.setattr(jaccard_join, "count_sketch", lambda docs, text, sketch, gram: seen.append(sketch) or real(docs, text, sketch, gram))
+    monkeypatch.setattr(jaccard_join, "size_of", lambda docs: 6_000_000_000)
+    monkeypatch.setattr(jaccard_join, "MOST_COUNTERS", 1 << 21)
+    texts = near_copies(30) + near_copies(12, 2, 30, 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(docs(spark, *texts).repartition(3), bucket_rows=8).collect()}
+    assert seen == [1 << 21] and got == naive_groups(dict(enumerate(texts)))
+
+
 def test_a_bucket_of_many_pairs_takes_little_memory():
     """Lists of 32 near copies, 2 million pairs: looked at in steps of a fixed size."""
     import tracemalloc
