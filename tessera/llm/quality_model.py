@@ -8,8 +8,11 @@ The score of a document is its place along that direction. The quantile of the
 training scores at the share of bad training documents is the threshold; scores
 are mapped to 0..1 so that it lies at ``CUT``.
 
-Learning uses a bounded sample of labelled rows (``TRAIN_ROWS``), whose features
-are computed on the executors, and ``PAIRS`` random preference pairs of it.
+Learning uses every labelled row outside the held-out fold. Features are computed
+on the executors and stay there: rows are dealt to blocks of some ``BLOCK`` by a hash
+of the id, all pairs of a block are preferences, and a Newton step sums slope and
+curvature of all blocks. Threshold and slope of the score are exact quantiles of all
+training scores. ``fit`` is the same model of rows and random pairs in memory.
 Scoring is one narrow pass over all whole texts.
 
 Defined results: null text is empty text, whose features are all 0 and whose
@@ -31,10 +34,14 @@ from pyspark.sql import functions as F
 from tessera.llm.labelled import held_out, training_documents
 from tessera.llm.quality_rules import repeat_words
 from tessera.llm.rows import map_rows
-from tessera.session import table
-
-#: Labelled rows learned from, and preference pairs drawn from them, at most.
-TRAIN_ROWS, PAIRS = 16_000, 60_000
+from tessera.session import Scratch, table
+
+#: Preference pairs that ``fit`` draws.
+PAIRS = 60_000
+#: Training rows of a block, and rows of either kind in it at least, on average; pairs looked at in one step.
+BLOCK, LEAST, CHUNK = 128, 16, 1 << 15
+#: Bins of a quantile's first pass.
+BINS = 4096
 #: Score at the threshold.
 CUT = 0.3
 DECAY, STEPS = 1e-3, 25
@@ -144,13 +151,109 @@ def fit(base: np.ndarray, labels: np.ndarray, pairs: int = PAIRS, decay: float =
     return Ranking(w, centre, spread, threshold, 8.0 / width)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text") -> Ranking:
+def totals(frame: DataFrame, work) -> np.ndarray:
+    """The sum of ``work(batch)``, an array of numbers, over all batches: a row for each task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                total = work(batch) if total is None else total + work(batch)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
+
+    return np.sum([r.total for r in frame.mapInArrow(run, "total array<double>").collect()], axis=0)
+
+
+def matrix(column) -> np.ndarray:
+    """A list column of base features as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_BASE)
+
+
+def quantile(values: DataFrame, share: float) -> float:
+    """The exact quantile, between neighbours as numpy has it, of a frame of one column ``v`` without nulls."""
+    n, least, most = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    at = share * (n - 1)
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    step = (most - least) / BINS
+    if not step:
+        return least
+    bin_of = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.lit(least)) / F.lit(step)))
+    bins = sorted((r.bin, r["count"]) for r in values.groupBy(bin_of.alias("bin")).count().collect())
+    ends = np.cumsum([c for _, c in bins])
+    first, last = np.searchsorted(ends, [low, high], side="right")
+    near = values.filter(bin_of.between(bins[first][0], bins[last][0])).groupBy("v").count().collect()
+    near.sort()
+    upto = np.cumsum([r["count"] for r in near]) + (ends[first - 1] if first else 0)
+    x, y = (near[k].v for k in np.searchsorted(upto, [low, high], side="right"))
+    return float(x + (y - x) * (at - low))
+
+
+def block_sums(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Number, slope and curvature of the loss of all pairs of scaled rows."""
+    out = np.zeros(1 + len(w) + len(w) ** 2)
+    step = max(1, CHUNK // max(1, len(bad)))
+    for at in range(0, len(good) if len(bad) else 0, step):
+        gap = (good[at : at + step, None] - bad[None]).reshape(-1, len(w))
+        lost = 1 / (1 + np.exp(np.clip(gap @ w, -35, 35)))
+        bend = (gap * (lost * (1 - lost))[:, None]).T @ gap
+        out += np.concatenate([[len(gap)], -gap.T @ lost, bend.ravel()])
+    return out
+
+
+def fit_rows(rows: DataFrame, scratch: Scratch, key: str, label: str, decay: float = DECAY, steps: int = STEPS) -> Ranking:
+    """The ranking of all rows (key, x, label) of a saved frame."""
+    import pyarrow as pa
+
+    kinds = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    n_good, n_bad = kinds.get(1, 0), kinds.get(0, 0)
+    if not n_good or not n_bad:
+        return constant(0.0 if n_bad else 1.0)
+    n, xs = sum(kinds.values()), rows.select("x")
+    centre = totals(xs, lambda b: expanded(matrix(b.column(0))).sum(0)) / n
+    spread = np.sqrt(totals(xs, lambda b: ((expanded(matrix(b.column(0))) - centre) ** 2).sum(0)) / n)
+    spread[spread < 1e-9] = 1.0
+
+    def deal(table):
+        x, y = matrix(table["x"].combine_chunks()), table[label].to_numpy()
+        by = np.lexsort(x.T[::-1])  # an order that does not depend on how the rows were dealt
+        x, y = x[by], y[by]
+        return pa.table({k: pa.array([x[y == v].tobytes()], pa.binary()) for k, v in (("good", 1), ("bad", 0))})
+
+    blocks = max(1, min(n // BLOCK, min(n_good, n_bad) // LEAST))
+    dealt = rows.select("x", label, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(blocks)).alias("block"))
+    dealt = scratch.save(dealt.groupBy("block").applyInArrow(deal, "good binary, bad binary"), "blocks")
+
+    w = np.zeros(2 * N_BASE - 1)
+    for _ in range(steps):
+
+        def sums(batch, w=w):
+            scaled = lambda v: (expanded(np.frombuffer(v).reshape(-1, N_BASE)) - centre) / spread
+            return sum(block_sums(scaled(good), scaled(bad), w) for good, bad in zip(*(c.to_pylist() for c in batch.columns)))
+
+        found = totals(dealt, sums)
+        pairs, slope, bend = found[0], found[1 : 1 + len(w)], found[1 + len(w) :].reshape(len(w), -1)
+        move = np.linalg.solve(bend / max(1, pairs) + decay * np.eye(len(w)), slope / max(1, pairs) + decay * w)
+        w = w - move * min(1.0, 4 / max(1e-9, float(np.abs(move).max())))
+        if np.abs(move).max() < 1e-6:
+            break
+    ranking = Ranking(w, centre, spread, 0.0, 1.0)
+    places = scratch.save(map_rows(rows, ["x", label], f"v double, {label} int", lambda: lambda x, y: zip(ranking.place(np.array(x)).tolist(), y)), "places")
+    bad, good = (quantile(places.filter(F.col(label) == k).select("v"), 0.5) for k in (0, 1))
+    return Ranking(w, centre, spread, quantile(places.select("v"), n_bad / n), 8.0 / max(1e-6, good - bad))
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int | None = None, key: str = "doc_id", text: str = "text") -> Ranking:
+    """The ranking of all labelled rows outside the held-out fold, or of ``rows`` of them."""
+    scratch = Scratch(docs.sparkSession, "quality")
     sample = training_documents(docs, labels, label, rows, key, text)
-    found = map_rows(sample, [text, label], f"x array<double>, {label} int", lambda: lambda texts, ys: ((features(t), y) for t, y in zip(texts, ys))).collect()
-    found.sort(key=lambda r: (r[label], r.x))  # an order that does not depend on how the rows were dealt
-    if not found:
-        return constant(1.0)
-    return fit(np.array([r.x for r in found]), np.array([r[label] for r in found]))
+    ddl = f"{key} {docs.schema[key].dataType.simpleString()}, x array<double>, {label} int"
+    found = map_rows(sample, [key, text, label], ddl, lambda: lambda ids, texts, ys: ((i, features(t), y) for i, t, y in zip(ids, texts, ys)))
+    ranking = fit_rows(scratch.save(found, "features"), scratch, key, label)
+    scratch.drop()
+    return ranking
 
 
 def rank_documents(docs: DataFrame, ranking: Ranking, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -225,6 +225,29 @@ def test_ranking_is_the_least_loss_of_the_pairs():
     assert r.threshold == pytest.approx(np.quantile(place, len(bad) / 80))
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """More labelled rows than were once drawn: centre, threshold and slope are those of all, and the loss of the blocks has no slope left."""
+    n = 17_000
+    rng = np.random.default_rng(6)
+    base = rng.random((n, quality_model.N_BASE)).round(3)
+    labels = (base[:, 3] + 0.3 * rng.random(n) > 0.6).astype(int)
+    frame = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(base.tolist(), labels.tolist()))], "doc_id long, x array<double>, quality int")
+    scratch = Scratch(spark, "test-quality")
+    r = quality_model.fit_rows(scratch.save(frame, "rows"), scratch, "doc_id", "quality")
+    x = quality_model.expanded(base)
+    assert r.centre == pytest.approx(x.mean(0)) and r.spread == pytest.approx(np.where(x.std(0) < 1e-9, 1, x.std(0)))
+    place = r.place(base)
+    assert r.threshold == pytest.approx(np.quantile(place, np.mean(labels == 0)))
+    assert r.slope == pytest.approx(8 / (np.median(place[labels == 1]) - np.median(place[labels == 0])))
+    blocks = scratch.read("blocks").collect()
+    assert sum(len(b.good) + len(b.bad) for b in blocks) == n * quality_model.N_BASE * 8
+    texts = spark.range(n).selectExpr("id AS doc_id", "'a b' AS text")
+    marks = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
+    from tessera.llm.labelled import training_documents
+
+    assert training_documents(texts, marks, "quality", None).count() == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(n))
+
+
 def test_one_training_row_for_an_id(spark):
     from tessera.llm.labelled import training_documents
 
