@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 BLANK = r"[ \t\r\n\f]"
 TOKEN = rf"{BLANK}*(?:[\p{{L}}\p{{N}}_]+|[^ \t\r\n\f\p{{L}}\p{{N}}_])"
 WORD = r"[\p{L}\p{N}_]+"
+#: Words that an embedding task holds as Python strings at a time.
+EMBED_WORDS = 50_000
 WINDOW, STEP, MIN_CHARS, MIN_TOKENS, MIN_TEXT, TAILS = 96, 64, 50, 20, 40, (33, 34)
 # Words that a question's terms leave out.
 STOP_WORDS = ("the", "a", "an", "in", "on", "of", "and", "or", "to", "for", "is", "are")
@@ -89,30 +92,50 @@ def terms(c: Column) -> Column:
     return F.array_except(words(c), F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
+def pieces(lists: pa.Array, words: int = EMBED_WORDS) -> Iterator[slice]:
+    """Runs of rows that hold at most so many list elements together; a longer row is a run of its own."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for row, n in enumerate(sizes):
+        if row > start and held + n > words:
+            yield slice(start, row)
+            start, held = row, 0
+        held += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
 def hash_embedding(dimension: int):
     """UDF: signed feature hashing of the words of a text, unit length, quantised to int8.
 
     Word hash: the first 32 bits of MD5; dimension is the hash modulo D, the sign the
-    parity of the quotient. Sums are whole numbers until the last step.
+    parity of the quotient, so the hash modulo 2 D tells both. Sums are whole numbers
+    until the last step. Words become Python strings for some ``EMBED_WORDS`` at a time,
+    however long a batch.
     """
 
-    @pandas_udf("array<int>")
-    def run(token_lists: pd.Series) -> pd.Series:
-        memo: dict[str, tuple[int, int]] = {}
-        out = []
-        for toks in token_lists:
-            v = np.zeros(dimension)
-            for t in toks if toks is not None else ():
-                at = memo.get(t)
-                if at is None:
-                    h = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
-                    if len(memo) > 200_000:
-                        memo.clear()
-                    at = memo[t] = (h % dimension, 1 - 2 * (h // dimension % 2))
-                v[at[0]] += at[1]
-            size = np.sqrt((v * v).sum())
-            out.append(np.trunc(v / size * 127).astype(np.int32) if size else v.astype(np.int32))
-        return pd.Series(out)
+    def embed(toks: list[str], memo: dict[str, int]) -> np.ndarray:
+        places = []
+        for t in toks:
+            at = memo.get(t)
+            if at is None:
+                if len(memo) > 100_000:
+                    memo.clear()
+                at = memo[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % (2 * dimension)
+            places.append(at)
+        counts = np.bincount(np.array(places, np.int64), minlength=2 * dimension)
+        v = (counts[:dimension] - counts[dimension:]).astype(np.float64)
+        size = np.sqrt((v * v).sum())
+        return np.trunc(v / size * 127).astype(np.int32) if size else v.astype(np.int32)
+
+    @arrow_udf("array<int>")
+    def run(token_lists: pa.Array) -> pa.Array:
+        memo: dict[str, int] = {}
+        out = np.zeros((len(token_lists), dimension), np.int32)
+        for piece in pieces(token_lists):
+            for row, toks in enumerate(token_lists.slice(piece.start, piece.stop - piece.start).to_pylist(), piece.start):
+                out[row] = embed(toks or [], memo)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dimension, dtype=np.int32)), pa.array(out.ravel()))
 
     return run
 

@@ -208,6 +208,26 @@ def test_file_sources(spark, tmp_path):
     assert files.text_files(spark, str(tmp_path / "c.txt")).first().text == "x"
 
 
+def test_embedding_holds_few_words_at_a_time(spark, monkeypatch):
+    """Long texts of one batch become Python strings piece by piece, with the same vectors."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    lists = pa.array([[f"w{i * 7 + j}" for j in range(400)] for i in range(500)] + [None, []])
+    runs = list(text.pieces(lists, 1000))
+    assert [r.start for r in runs] == [0, *[r.stop for r in runs[:-1]]] and runs[-1].stop == len(lists)
+    assert all(sum(len(x or []) for x in lists[r.start : r.stop].to_pylist()) <= 1000 for r in runs)
+    assert list(text.pieces(pa.array([["a"] * 9, ["b"], ["c"]]), 2)) == [slice(0, 1), slice(1, 3)]
+    work = text.hash_embedding(8).func
+    tracemalloc.start()
+    got = work(lists)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == len(lists) and got[-1].as_py() == got[-2].as_py() == [0] * 8
+    assert peak < 8 << 20  # all 200,000 words at once take more than 10 MB
+
+
 def test_paper_functions(spark):
     r = one(spark, name=papers.safe_filename(F.lit('a: b?  "c"')), year=papers.extract_year(F.lit("x 12345 2019, 2020")), none=papers.extract_year(F.lit("no")), pid=papers.paper_id(F.lit(""), F.lit("  A  B ")))
     assert (r.name, r.year, r.none, r.pid) == ("a_b_c", 2019, None, "a b")
