@@ -134,6 +134,20 @@ def test_best_keeps_ties_by_key():
             assert [(-a, b) for a, b in zip(kept.score[q], kept.key[q])] == every
 
 
+def test_recall_scores_nothing_again(spark):
+    """Recall from the segments of the exact result equals that of the searches themselves."""
+    from tessera.plans import vectors
+
+    for calibrated in (False, True):
+        found = open_index(spark, f"{DATA}/sf0.001", calibrated)
+        got = vectors.recall_of(found, spark)
+        assert "zip_with" not in got._jdf.queryExecution().executedPlan().toString()
+        truth = search.exact_knn(found.queries, found.vectors, 5).select("query_id", "vec_id")
+        for r in got.collect():
+            hits = search.probe_topk(found.queries, found.plan(r.probes), found.records, 5)
+            assert r.recall == round(hits.join(truth, ["query_id", "vec_id"], "left_semi").count() / truth.count(), 6)
+
+
 def test_plans_have_no_all_pairs(spark, ix):
     from tessera.plans import registry
 
