@@ -148,6 +148,14 @@ def test_recall_scores_nothing_again(spark):
             assert r.recall == round(hits.join(truth, ["query_id", "vec_id"], "left_semi").count() / truth.count(), 6)
 
 
+def test_strategies_look_at_the_exact_result_only(spark):
+    """Of all strategies only the codes are ranked; what the others find is read from the segments."""
+    from tessera.plans import registry
+
+    shape = registry.queries()["strategy_compare"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in shape and shape.count("WindowGroupLimit") <= 2
+
+
 def test_plans_have_no_all_pairs(spark, ix):
     from tessera.plans import registry
 
