@@ -156,6 +156,29 @@ def test_strategies_look_at_the_exact_result_only(spark):
     assert "zip_with" not in shape and shape.count("WindowGroupLimit") <= 2
 
 
+def test_best_of_equal_scores_stays_small():
+    """Where all scores are equal only k of each query are looked at, not every tie."""
+    import tracemalloc
+
+    kept, keys = search.Best(500, 5), np.arange(4096)
+    tracemalloc.start()
+    for n in range(3):
+        kept.score, kept.key = kept.add(slice(0, 500), np.full((500, 4096), 7.0, np.float32), keys[::-1] + (2 - n) * 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (kept.key == np.arange(5)).all() and (kept.score == 7).all()
+    assert peak < 48 << 20  # the pairs of 2,000,000 ties take more than 100 MB
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(2)
+    for top in (127, 1 << 20):
+        q, x = rng.integers(-top, top, (9, 64)), rng.integers(-top, top, (11, 64))
+        a, b = search.products(q, x)
+        assert a.dtype == (np.float32 if top == 127 else np.float64)
+        assert ((a @ b.T).astype(np.int64) == q @ x.T).all()
+
+
 def test_plans_have_no_all_pairs(spark, ix):
     from tessera.plans import registry
 
