@@ -179,6 +179,30 @@ def test_products_are_exact():
         assert ((a @ b.T).astype(np.int64) == q @ x.T).all()
 
 
+def test_cells_hold_every_pair_once(spark):
+    """Queries and items of a segment meet once each, in cells of bounded size."""
+    import pyarrow as pa
+
+    reach = spark.range(60).selectExpr("id AS query_id", "CAST(id % 2 AS INT) AS segment_id")
+    items = spark.range(500).selectExpr("id AS vec_id", "CAST(IF(id < 450, 0, 1) AS INT) AS segment_id")
+
+    def work(asked, held):
+        a, b = asked["query_id"].to_numpy(), held["vec_id"].to_numpy()
+        size = np.full(len(a) * len(b), len(a) * len(b))
+        return pa.table({"query_id": np.repeat(a, len(b)), "vec_id": np.tile(b, len(a)), "size": size})
+
+    found = search.in_cells(reach, items, "vec_id", work, "query_id long, vec_id long, size long", 10, 50)
+    every = reach.join(items, "segment_id").select("query_id", "vec_id")
+    assert found.count() == every.count() and found.select("query_id", "vec_id").exceptAll(every).count() == 0
+    assert found.agg(F.max("size")).first()[0] < 4 * 10 * 50
+
+
+def test_probe_search_scores_in_cells(spark, ix):
+    """No row of a query and a record is made: cells send on k rows a query."""
+    plan = search.probe_topk(ix.queries, ix.plan(), ix.records, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
+
+
 def test_plans_have_no_all_pairs(spark, ix):
     from tessera.plans import registry
 
