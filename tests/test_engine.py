@@ -203,6 +203,22 @@ def test_probe_search_scores_in_cells(spark, ix):
     assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
 
 
+def test_bounds_are_counted_in_cells(spark, ix):
+    """Counts of the visited extents equal those of a row for each, and no such row is made for them."""
+    plan = ix.plan(32)
+    reach = search.floors(ix.queries, plan, ix.records, 2)
+    counts = search.visit_counts(reach, ix.directory)
+    top, visited = search.bounded_topk(ix.queries, plan, ix.records, ix.directory, 2)
+    scored = F.col("is_scored")
+    rows = visited.groupBy("query_id").agg(F.sum("record_count").alias("candidates"), F.sum(F.when(scored, F.col("record_count")).otherwise(0)).alias("scored"), F.sum((~scored).cast("long")).alias("bypassed_extents"))
+    assert counts.exceptAll(rows).count() == 0 and counts.count() == rows.count() == ix.queries.count()
+    plain = search.probe_topk(ix.queries, plan, ix.records, 2).select("query_id", "vec_id", "score", "rank")
+    assert top.select(*plain.columns).exceptAll(plain).count() == 0 and top.count() == plain.count()
+    for frame in (counts, top):
+        shape = frame._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in shape and "zip_with" not in shape
+
+
 def test_plans_have_no_all_pairs(spark, ix):
     from tessera.plans import registry
 
