@@ -219,6 +219,14 @@ def test_bounds_are_counted_in_cells(spark, ix):
         assert "FlatMapCoGroupsInArrow" in shape and "zip_with" not in shape
 
 
+def test_telemetry_adds_up_in_cells(spark):
+    from tessera.plans import registry
+
+    for name in ("probe_telemetry", "bypass_rate"):
+        shape = registry.queries()[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in shape and "is_scored" not in shape and "zip_with" not in shape, name
+
+
 def test_plans_have_no_all_pairs(spark, ix):
     from tessera.plans import registry
 
