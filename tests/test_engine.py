@@ -227,6 +227,13 @@ def test_telemetry_adds_up_in_cells(spark):
         assert "FlatMapCoGroupsInArrow" in shape and "is_scored" not in shape and "zip_with" not in shape, name
 
 
+def test_funnel_adds_up_in_cells(spark):
+    from tessera.plans import registry
+
+    shape = registry.queries()["pruning_funnel"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "is_scored" not in shape and "zip_with" not in shape
+
+
 def test_plans_have_no_all_pairs(spark, ix):
     from tessera.plans import registry
 
